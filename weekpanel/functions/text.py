@@ -9,6 +9,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Java's \s knows ASCII blanks only; Unicode blanks count as blanks here.
@@ -30,15 +31,16 @@ def is_blank(x: Column | str) -> Column:
     return F.coalesce(F.trim(_c(x)) == "", F.lit(True))
 
 
-@pandas_udf("string")
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+def unescape_html(x: Column | str) -> Column:
+    """HTML entities as characters. Texts without an ampersand reach the Python worker as NULL."""
 
+    @pandas_udf(T.StringType())
+    def unescape(s: pd.Series) -> pd.Series:
+        return s.map(html.unescape, na_action="ignore")
 
-def unescape_html(x: Column | str) -> Column:
-    """HTML entities as characters. Only texts with an ampersand need the Python worker's answer."""
     c = _c(x)
-    return F.when(F.contains(c, F.lit("&")), _unescape(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
+    marked = F.contains(c, F.lit("&"))
+    return F.when(marked, unescape(F.when(marked, c))).otherwise(c)
 
 
 def normalize_text(x: Column | str, unescape: bool = True) -> Column:
@@ -119,7 +121,7 @@ def similar(a: Column, b: Column, threshold: float) -> Column:
     Python worker as NULL and cost nothing there.
     """
 
-    @pandas_udf("boolean")
+    @pandas_udf(T.BooleanType())
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([p is not None and q is not None and _similar(p, q, threshold) for p, q in zip(x, y)])
 

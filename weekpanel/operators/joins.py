@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from weekpanel.contracts import ContractError
 from weekpanel.operators.ranking import WINDOW_ROWS, occurrence_index
-from weekpanel.operators.rows import first_per_key
 
 BROADCAST_ROWS = 100_000
 
@@ -54,7 +53,9 @@ def occurrence_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left
 def first_match(df: DataFrame, right: DataFrame, on: Sequence[str], order: Sequence[Column],
                 columns: Sequence[str]) -> DataFrame:
     """For every row the first matching row of the right side, else NULL."""
-    first = first_per_key(right.select(*dict.fromkeys([*on, *columns])), on, order)
+    by = [o.alias(f"_o{i}") for i, o in enumerate(order)]
+    picked = F.min(F.struct(*by, *[F.col(f"`{c}`") for c in columns])).alias("_first")
+    first = right.groupBy(*on).agg(picked).select(*on, *[F.col(f"_first.`{c}`") for c in columns])
     return df.join(first, list(on), "left")
 
 

@@ -9,8 +9,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-FRIDAY = "cast({d} + cast((5 - extract(isodow from {d}) + 7) % 7 as int) as date)"
-
 FIXTURES: dict[str, str] = {
     "f_daily": """
         select n_name as Ticker, cast(l_shipdate as date) as ActualTradingDate,
@@ -67,8 +65,8 @@ FIXTURES: dict[str, str] = {
                value / 1000 as FINBERT_Negative, 0.3e0 as FINBERT_Neutral, 0.7e0 - value / 1000 as FINBERT_Positive
         from {events} join {nation} on user_id % 25 = n_nationkey""",
     "f_coeff": """
-        select n_name as Ticker, g.lag, 0.1e0 * g.lag - 0.01e0 * n_nationkey as beta_negative,
-               0.05e0 * g.lag as beta_neutral, 0.02e0 * n_nationkey as beta_positive
+        select n_name as Ticker, g.lag, (0.1e0 * g.lag - 0.01e0 * n_nationkey) / 7.0e0 as beta_negative,
+               g.lag / 13.0e0 as beta_neutral, n_nationkey / 47.0e0 as beta_positive
         from {nation} cross join (select 1 as lag union all select 2 union all select 3) g
         where n_nationkey % 6 <> 5""",
     "f_documents": """
