@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import html
+from collections import Counter
 from collections.abc import Iterable
 
 import pandas as pd
@@ -32,7 +33,11 @@ def is_blank(x: Column | str) -> Column:
 
 
 def unescape_html(x: Column | str) -> Column:
-    """HTML entities as characters. Texts without an ampersand reach the Python worker as NULL."""
+    """HTML entities as characters. Texts without an ampersand reach the Python worker as NULL.
+
+    Marked as non-deterministic so the optimizer keeps it in its own projection: inlined into every
+    later use it would run many times and bloat the generated code.
+    """
 
     @pandas_udf(T.StringType())
     def unescape(s: pd.Series) -> pd.Series:
@@ -40,7 +45,7 @@ def unescape_html(x: Column | str) -> Column:
 
     c = _c(x)
     marked = F.contains(c, F.lit("&"))
-    return F.when(marked, unescape(F.when(marked, c))).otherwise(c)
+    return F.when(marked, unescape.asNondeterministic()(F.when(marked, c))).otherwise(c)
 
 
 def normalize_text(x: Column | str, unescape: bool = True) -> Column:
@@ -108,10 +113,30 @@ def tokens_contained(small: Column, large: Column) -> Column:
     return (F.size(small) > 0) & (F.size(F.array_except(small, large)) == 0)
 
 
+def _grams_allow(a: str, b: str, threshold: float, q: int = 3) -> bool:
+    """False when two texts share too few q-grams to reach the ratio.
+
+    The matched characters are a common subsequence, so at most ``(1 - t)(|a| + |b|)`` characters are
+    deleted or inserted, and each of them breaks at most q grams.
+    """
+    edits = (1.0 - threshold) * (len(a) + len(b))
+    wanted = max(len(a), len(b)) - q + 1 - edits * q
+    if wanted <= 0:
+        return True
+    left = Counter(a[i:i + q] for i in range(len(a) - q + 1))
+    right = Counter(b[i:i + q] for i in range(len(b) - q + 1))
+    return sum((left & right).values()) >= wanted
+
+
 def _similar(a: str, b: str, threshold: float) -> bool:
+    """Match ratio at least the threshold. All tests before the last are bounds and only save time."""
+    if a == b:
+        return True
     m = difflib.SequenceMatcher(None, a, b)
-    # The two quick ratios are upper bounds of the ratio, so they only save time.
-    return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+    return (
+        m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and _grams_allow(a, b, threshold)
+        and m.ratio() >= threshold
+    )
 
 
 def similar(a: Column, b: Column, threshold: float) -> Column:

@@ -67,11 +67,11 @@ def accuracy_of(model, data: DataFrame) -> float:
 
 def l1_logistic(n_rows: int, c: float) -> LogisticRegression:
     """Lasso logistic regression; the penalty weight 1/C is per row here. Features come standardised."""
-    return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * n_rows), standardization=False, maxIter=200, tol=1e-8)
+    return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * n_rows), standardization=False, maxIter=100, tol=1e-6)
 
 
 def plain_logistic(n_rows: int) -> LogisticRegression:
-    return LogisticRegression(elasticNetParam=0.0, regParam=1.0 / n_rows, standardization=False, maxIter=200, tol=1e-8)
+    return LogisticRegression(elasticNetParam=0.0, regParam=1.0 / n_rows, standardization=False, maxIter=100, tol=1e-6)
 
 
 def forest(**params) -> RandomForestClassifier:

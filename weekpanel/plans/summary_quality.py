@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekpanel.functions.numeric import pct
@@ -32,18 +32,18 @@ ISSUES = [
 ]
 
 
-def issue_type(summary: Column, headline: Column, similarity: bool = True) -> Column:
-    """Class of a normalised summary; the first rule that holds wins.
+def issue_type(summary: Column, text: Column, head: Column, tokens: Column, head_tokens: Column,
+               similarity: bool = True) -> Column:
+    """Class of a summary; the first rule that holds wins.
 
-    Only the similarity rule needs Python, and only for pairs of nearly equal length.
+    Takes the normalised summary, the canonical summary and headline and their words. Only the
+    similarity rule needs Python, and only for pairs of nearly equal length.
     """
-    text, head = canonical(summary), canonical(headline)
-    tokens = words(text)
     n = F.size(tokens)
     last = F.coalesce(F.try_element_at(tokens, F.lit(-1)), F.lit(""))
     ends_open = F.endswith(summary, F.lit("...")) | F.endswith(summary, F.lit("…"))
     cut_word = F.regexp_like(summary, F.lit(r"[\p{L}\p{N}]$")) & (n >= 6) & (F.length(last) <= 4)
-    contained = tokens_contained(tokens, words(head)) & (n <= 10)
+    contained = tokens_contained(tokens, head_tokens) & (n <= 10)
     like = contained | similar(text, head, SIMILARITY) if similarity else contained
     return (
         F.when(summary == "", "missing")
@@ -59,15 +59,21 @@ def issue_type(summary: Column, headline: Column, similarity: bool = True) -> Co
 
 
 def classify_summary(news: DataFrame, similarity: bool = True, unescape: bool = True) -> DataFrame:
-    """Normalised headline and summary, word and character counts, class and fallback flag."""
+    """Normalised headline and summary, word and character counts, class and fallback flag.
+
+    The steps are separate projections, so each normal form is computed once per row.
+    """
     clean = news.withColumns({
         "Headline": normalize_text("Headline", unescape), "Summary": normalize_text("Summary", unescape),
     })
-    return clean.withColumns({
-        "SummaryWords": F.size(words(canonical("Summary"))),
-        "SummaryChars": F.length("Summary"),
-        "IssueType": issue_type(F.col("Summary"), F.col("Headline"), similarity),
-    }).withColumn("NeedsHeadlineFallback", (F.col("IssueType") != "usable").cast("int"))
+    forms = clean.withColumns({"_text": canonical("Summary"), "_head": canonical("Headline")})
+    split = forms.withColumns({"_tokens": words("_text"), "_head_tokens": words("_head")})
+    parts = [F.col(c) for c in ("Summary", "_text", "_head", "_tokens", "_head_tokens")]
+    classed = split.withColumns({
+        "SummaryWords": F.size("_tokens"), "SummaryChars": F.length("Summary"),
+        "IssueType": issue_type(*parts, similarity=similarity),
+    }).drop("_text", "_head", "_tokens", "_head_tokens")
+    return classed.withColumn("NeedsHeadlineFallback", (F.col("IssueType") != "usable").cast("int"))
 
 
 def impute_summary(news: DataFrame, similarity: bool = True, unescape: bool = True) -> DataFrame:
@@ -83,8 +89,10 @@ def summary_quality_report(classified: DataFrame) -> DataFrame:
     names = spark.createDataFrame([(i, n) for i, n in enumerate(ISSUES)], "position int, IssueType string")
     counts = classified.groupBy("IssueType").agg(F.count(F.lit(1)).alias("n"))
     full = names.join(counts, "IssueType", "left").na.fill(0, subset=["n"])
-    total = counts.agg(F.sum("n")).scalar()
-    return full.select("position", "IssueType", "n", pct("n", total, 1).alias("pct"))
+    # the window holds one row per class
+    return full.withColumn("_total", F.sum("n").over(Window.partitionBy(F.lit(1)))).select(
+        "position", "IssueType", "n", pct("n", "_total", 1).alias("pct")
+    )
 
 
 def top_issues(report: DataFrame, k: int = 5) -> DataFrame:

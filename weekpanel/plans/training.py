@@ -71,8 +71,10 @@ def train_sector(parts: dict[str, DataFrame], features: Sequence[str], c_grid: S
         out.append(_result(name, M.accuracy_of(build(**params).fit(fr), tr_test), b["validation_accuracy"], params))
 
     st, sv = prepared("train_balanced", "train_balanced", "validation", columns=chosen, scaled=True)
-    def build_net(hidden1: int, hidden2: int):
-        return M.two_layer_net(len(chosen), hidden1, hidden2)
+
+    def build_net(**point):
+        return M.two_layer_net(len(chosen), **point)
+
     b = M.best_point(M.grid_search(st, sv, build_net, net_grid, parallelism)).first()
     params = net_grid[b["point"]]
     out.append(_result("neural_network", M.accuracy_of(build_net(**params).fit(fs), ts), b["validation_accuracy"], params))

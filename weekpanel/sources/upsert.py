@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -31,3 +32,8 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: str = "batch_id")
     rest = [c for c in df.columns if c not in (*keys, order)]
     best = F.max(F.struct(F.col(order), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("r"))).alias("b")
     return df.groupBy(*keys).agg(best).select(*keys, "b.r.*")
+
+
+def fresh_path(base: str) -> str:
+    """A new folder name below a shared folder."""
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -54,10 +54,14 @@ def stream_upsert(stream: DataFrame, path: str, key: str, checkpoint: str) -> Da
 
 
 def stream_score_new_texts(articles: DataFrame, cache_path: str, checkpoint: str,
-                           scorer: Callable[[DataFrame], DataFrame] = lexicon_scores) -> DataStreamWriter:
-    """Score the texts of each batch that the cache does not hold yet, and add them to it."""
+                           scorer: Callable[[DataFrame], DataFrame] = lexicon_scores, first_batch: int = 0) -> DataStreamWriter:
+    """Score the texts of each batch that the cache does not hold yet, and add them to it.
 
-    def run(df: DataFrame, batch_id: int) -> None:
+    ``first_batch`` shifts the batch numbers, so a new query does not replace the batches of an older one.
+    """
+
+    def run(df: DataFrame, number: int) -> None:
+        batch_id = number + first_batch
         spark = df.sparkSession
         texts = distinct_texts(analysis_text(df))
         if _exists(spark, cache_path):
@@ -70,5 +74,7 @@ def stream_score_new_texts(articles: DataFrame, cache_path: str, checkpoint: str
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """True once a batch is stored below the path."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path, "batch_id=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return found is not None and len(found) > 0

@@ -62,7 +62,7 @@ FIXTURES: dict[str, str] = {
                n_name as Ticker, ts - interval '9492' day + ((event_id % 300) * 7) * interval '1' day as Date,
                concat(event_type, ' ', cast(user_id % 7 as varchar(20))) as Headline,
                case when event_id % 3 = 0 then '' else concat('  ', event_type, '   report ', props, ' ') end as Summary,
-               value / 1000 as FINBERT_Negative, 0.3e0 as FINBERT_Neutral, 0.7e0 - value / 1000 as FINBERT_Positive
+               value / 997.0e0 as FINBERT_Negative, 0.3e0 as FINBERT_Neutral, 0.7e0 - value / 997.0e0 as FINBERT_Positive
         from {events} join {nation} on user_id % 25 = n_nationkey""",
     "f_coeff": """
         select n_name as Ticker, g.lag, (0.1e0 * g.lag - 0.01e0 * n_nationkey) / 7.0e0 as beta_negative,
