@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Java's \s knows ASCII blanks only; Unicode blanks count as blanks here.
-BLANKS = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]+"
+BLANK = r"\s\p{Z}\x{1C}-\x{1F}\x{85}"
+# Runs of blanks that are not already one plain space, so clean text is scanned but not rewritten.
+BLANK_RUNS = rf"[{BLANK}&&[^ ]][{BLANK}]*| [{BLANK}]+"
 LINKS = r"http[^\s\p{Z}]+|www[^\s\p{Z}]+"
 MENTIONS = r"@[\p{L}\p{N}_]+|#"
 
@@ -25,7 +27,7 @@ def _c(x: Column | str) -> Column:
 
 def collapse(x: Column | str) -> Column:
     """Missing as empty, runs of blanks as one blank, no blanks at the ends."""
-    return F.trim(F.regexp_replace(F.coalesce(_c(x).cast("string"), F.lit("")), BLANKS, " "))
+    return F.trim(F.regexp_replace(F.coalesce(_c(x).cast("string"), F.lit("")), BLANK_RUNS, " "))
 
 
 def is_blank(x: Column | str) -> Column:
@@ -54,12 +56,21 @@ def normalize_text(x: Column | str, unescape: bool = True) -> Column:
     return collapse(unescape_html(c) if unescape else c)
 
 
-def canonical(x: Column | str) -> Column:
-    """Comparison form: no links, mentions, digits or punctuation; lower case."""
-    c = F.regexp_replace(collapse(x), LINKS, "")
-    c = F.regexp_replace(c, MENTIONS, "")
-    c = F.lower(F.regexp_replace(c, r"[^a-zA-Z ]", " "))
-    return F.trim(F.regexp_replace(c, " +", " "))
+def without_links(x: Column) -> Column:
+    """Links and mentions removed. The plain substring tests spare most texts the two patterns."""
+    linked = F.contains(x, F.lit("http")) | F.contains(x, F.lit("www"))
+    c = F.when(linked, F.regexp_replace(x, LINKS, "")).otherwise(x)
+    marked = F.contains(x, F.lit("@")) | F.contains(x, F.lit("#"))
+    return F.when(marked, F.regexp_replace(c, MENTIONS, "")).otherwise(c)
+
+
+def canonical(x: Column | str, collapsed: bool = False) -> Column:
+    """Comparison form: no links, mentions, digits or punctuation; lower case.
+
+    ``collapsed`` says that blanks are already single.
+    """
+    c = without_links(_c(x) if collapsed else collapse(x))
+    return F.trim(F.lower(F.regexp_replace(F.regexp_replace(c, r"[^a-zA-Z ]+", " "), "  +", " ")))
 
 
 def words(x: Column | str) -> Column:

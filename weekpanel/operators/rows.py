@@ -91,19 +91,20 @@ def select_features(df: DataFrame, drop: Iterable[str] = (), drop_containing: It
             return False
         return not (prefix and c.startswith(prefix) and c not in kept)
 
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if wanted(c)])
+    return df.select(*[f"`{c}`" for c in df.columns if wanted(c)])
 
 
 def filter_selected(df: DataFrame, variables: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in variables])
+    return df.select(*[f"`{c}`" for c in variables])
 
 
 def rename_reorder(df: DataFrame, mapping: Mapping[str, str], leading: Sequence[str] = (),
                    drop_ignoring_case: Iterable[str] = ()) -> DataFrame:
     gone = {c.lower() for c in drop_ignoring_case}
-    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone]).withColumnsRenamed(dict(mapping))
+    kept = [c for c in df.columns if c.lower() not in gone]
+    out = df.select(*[f"`{c}`" for c in kept]).withColumnsRenamed(dict(mapping))
     rest = [c for c in out.columns if c not in leading]
-    return out.select(*[F.col(f"`{c}`") for c in [*leading, *rest]])
+    return out.select(*[f"`{c}`" for c in [*leading, *rest]])
 
 
 def add_missing_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -135,26 +136,21 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ti
     A missing key equals a missing key. The remaining columns break ties, so the choice does not
     depend on file order.
     """
-    rest = [c for c in df.columns if c not in keys]
     by = [o.alias(f"_o{i}") for i, o in enumerate(order)]
     ties = [F.col(f"`{c}`").alias(f"_t{i}") for i, c in enumerate(tiebreak)]
-    payload = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row")
-    best = F.max(F.struct(*by, *ties, payload)).alias("_best")
-    picked = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(best)
-    return picked.select(*[
-        F.col(f"`{c}`") if c in keys else F.col(f"_best._row.`{c}`").alias(c) for c in df.columns
-    ])
+    return _pick(df, keys, F.max, [*by, *ties])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The row with the smallest ``order`` of every key (missing order values rank first)."""
-    rest = [c for c in df.columns if c not in keys]
-    by = [o.alias(f"_o{i}") for i, o in enumerate(order)]
-    payload = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row")
-    picked = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min(F.struct(*by, payload)).alias("_best"))
-    return picked.select(*[
-        F.col(f"`{c}`") if c in keys else F.col(f"_best._row.`{c}`").alias(c) for c in df.columns
-    ])
+    return _pick(df, keys, F.min, [o.alias(f"_o{i}") for i, o in enumerate(order)])
+
+
+def _pick(df: DataFrame, keys: Sequence[str], best, by: Sequence[Column]) -> DataFrame:
+    rest = [f"`{c}`" for c in df.columns if c not in keys]
+    chosen = best(F.struct(*by, F.struct(*rest).alias("_row"))).alias("_best")
+    picked = df.groupBy(*[f"`{k}`" for k in keys]).agg(chosen).select(*[f"`{k}`" for k in keys], "_best._row.*")
+    return picked.select(*[f"`{c}`" for c in df.columns])
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

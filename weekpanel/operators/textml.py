@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.classification import LinearSVC, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekpanel.functions.text import LINKS, MENTIONS
+from weekpanel.functions.text import without_links
 
 # Negations that stay in the text, and the vocabulary bounds.
 NEGATIONS = ["not", "no", "nor", "n't"]
@@ -20,20 +22,26 @@ def stop_words(spark) -> list[str]:
     return [w for w in StopWordsRemover.loadDefaultStopWords("english") if w not in NEGATIONS]
 
 
-def clean_tokens(text: Column | str, stops: list[str]) -> Column:
+def clean_tokens(text: Column | str, stops: Sequence[str] = ()) -> Column:
     """Lower-case words of letters only, in order, without stop words."""
-    c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    c = F.regexp_replace(c, LINKS, "")
-    c = F.regexp_replace(c, MENTIONS, "")
-    c = F.lower(F.regexp_replace(c, r"[^a-zA-Z\s]", ""))
+    c = without_links(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    c = F.lower(F.regexp_replace(c, r"[^a-zA-Z\s]+", ""))
+    tokens = F.array_remove(F.split(c, r"\s+"), "")
+    if not stops:
+        return tokens
     listed = F.array(*[F.lit(w) for w in stops])
-    return F.filter(F.split(c, r"\s+"), lambda w: (w != "") & ~F.array_contains(listed, w))
+    return F.filter(tokens, lambda w: ~F.array_contains(listed, w))
 
 
 def term_counts(docs: DataFrame, doc: str, tokens: str, min_length: int = 2) -> DataFrame:
-    """Occurrences of each term in each document (long form). Terms have at least two letters."""
+    """Occurrences of each term in each document (long form). Terms have at least two letters.
+
+    The documents are spread by id before their words are exploded: texts are smaller than their
+    word rows, and the counts per document then need no further shuffle.
+    """
     return (
-        docs.select(doc, F.explode(tokens).alias("term"))
+        docs.select(doc, tokens).repartition(doc)
+        .select(doc, F.explode(tokens).alias("term"))
         .filter(F.length("term") >= min_length)
         .groupBy(doc, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -60,7 +68,7 @@ def tfidf_long(docs: DataFrame, doc: str, tokens: str, vocab: DataFrame | None =
                min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
     """``tf * (ln((1 + n) / (1 + df)) + 1)``, scaled to length 1 per document.
 
-    The norm is an aggregate joined back on the document, so no window holds a document's terms twice.
+    The window for the length holds the distinct terms of one document, at most one input row's text.
     """
     counts = term_counts(docs, doc, tokens)
     n = n_docs if n_docs is not None else docs.agg(F.count(F.lit(1))).scalar()
@@ -68,8 +76,8 @@ def tfidf_long(docs: DataFrame, doc: str, tokens: str, vocab: DataFrame | None =
     raw = counts.join(terms, "term").select(
         doc, "term", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("w")
     )
-    norm = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
+    return raw.select(doc, "term", (F.col("w") / length).alias("weight"))
 
 
 def fit_counts(docs: DataFrame, doc: str, tokens: str, min_df: int = MIN_DF, max_df: float = MAX_DF) -> CountVectorizerModel:

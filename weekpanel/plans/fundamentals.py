@@ -21,6 +21,9 @@ ITEMS = [
     "totalCurrentAssets", "totalCurrentLiabilities", "totalDebt", "operatingCashFlow", "capitalExpenditure",
     "freeCashFlow", "marketCap",
 ]
+CARRIED = ["totalStockholdersEquity", "freeCashFlow", "freeCashFlow_TTM", "netIncome", "netIncome_TTM"]
+FLAGS = ["CapexReportedZeroFlag", "FreeCashFlowZeroFlag", "FreeCashFlowTTMZeroFlag", "SuspiciousTotalDebtZeroFlag"]
+LAGGED = [f"{n}_L{k}Q" for n in STATEMENT_FEATURES for k in (1, 2)]
 START_DATE = "2021-01-01"
 
 
@@ -79,19 +82,22 @@ def with_ratios(summed: DataFrame) -> DataFrame:
     return summed.select("*", *[e.alias(n) for n, e in ratio_expressions().items()]).drop("_assets4")
 
 
-def with_quarter_lags(ratios: DataFrame) -> DataFrame:
-    """Ratios one and two statements back, with a flag where the lag is missing. One select, one window."""
-    w = entity_window("symbol", "date")
-    lags = [(n, k, F.lag(n, k).over(w)) for n in STATEMENT_FEATURES for k in (1, 2)]
-    return ratios.select(
-        "*", *[x.alias(f"{n}_L{k}Q") for n, k, x in lags],
-        *[x.isNull().cast("int").alias(f"{n}_L{k}QMissingFlag") for n, k, x in lags],
-    )
+def with_quarter_lags(ratios: DataFrame, flags: bool = True) -> DataFrame:
+    """Ratios one and two statements back, with a flag where the lag is missing. One window for all."""
+    lagged = [
+        f"lag({n}, {k}) over (partition by symbol order by date asc nulls last) as {n}_L{k}Q"
+        for n in STATEMENT_FEATURES for k in (1, 2)
+    ]
+    out = ratios.selectExpr("*", *lagged)
+    return out.selectExpr("*", *[f"int({c} is null) as {c}MissingFlag" for c in LAGGED]) if flags else out
 
 
 def statement_factors(statements: DataFrame) -> DataFrame:
-    """All statement-level columns, one row per symbol and statement date."""
-    return with_quarter_lags(with_ratios(ttm_and_flags(newest_per_statement(with_release_week(statements)))))
+    """Statement-level columns the weekly panel needs, one row per symbol and statement date."""
+    newest = newest_per_statement(with_release_week(statements))
+    return with_quarter_lags(with_ratios(ttm_and_flags(newest)), flags=False).select(
+        "symbol", "date", "filingDate", "acceptedDate", "ReleaseWeek", "marketCap", *CARRIED, *FLAGS, *STATEMENT_FEATURES, *LAGGED
+    )
 
 
 def align_to_weeks(factors: DataFrame, bars: DataFrame) -> DataFrame:
@@ -113,41 +119,45 @@ def align_to_weeks(factors: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def fill_and_scale(aligned: DataFrame) -> DataFrame:
-    """Forward-filled columns and the weekly market cap, moved with the close since the last report."""
+    """Forward-filled columns and the weekly market cap, moved with the close since the last report.
+
+    Values are filled each on its own. Flags and quarter lags come from the latest statement as one
+    struct: a flag is set on every statement, and a lag counts only where the latest statement has
+    it, so for them the latest row is the answer and a missing lag stays missing.
+    """
     w = entity_window("symbol", "WeekEndingFriday")
-    raw = ["totalStockholdersEquity", "freeCashFlow", "freeCashFlow_TTM", "netIncome", "netIncome_TTM"]
-    flags = ["CapexReportedZeroFlag", "FreeCashFlowZeroFlag", "FreeCashFlowTTMZeroFlag", "SuspiciousTotalDebtZeroFlag"]
-    lagged = [f"{n}_L{k}Q" for n in STATEMENT_FEATURES for k in (1, 2)]
-    filled = [*raw, *flags, *STATEMENT_FEATURES, *lagged, *[f"{c}MissingFlag" for c in lagged]]
-    out = aligned.select(
-        "symbol", "WeekEndingFriday", "QuarterlyReleased", "ClosePrice",
-        forward_fill("marketCap", w).alias("_cap"), anchored("ClosePrice", "marketCap", w).alias("_anchor"),
-        *[forward_fill(c, w).alias(c) for c in filled],
+    frame = "partition by symbol order by WeekEndingFriday asc nulls last rows between unbounded preceding and current row"
+    latest = f"if(ReleaseWeek is not null, struct({', '.join([*FLAGS, *LAGGED])}), null)"
+    out = aligned.withColumns({
+        "_cap": forward_fill("marketCap", w), "_anchor": anchored("ClosePrice", "marketCap", w),
+    }).selectExpr(
+        "symbol", "WeekEndingFriday", "QuarterlyReleased", "ClosePrice", "_cap", "_anchor",
+        *[f"last({c}, true) over ({frame}) as {c}" for c in [*CARRIED, *STATEMENT_FEATURES]],
+        f"last({latest}, true) over ({frame}) as _latest",
+    )
+    return out.withColumn("MarketCap", F.col("_cap") * safe_divide("ClosePrice", "_anchor")).select(
+        "symbol", "WeekEndingFriday", "QuarterlyReleased", "MarketCap", *CARRIED, *STATEMENT_FEATURES, "_latest.*"
     )
-    return out.withColumn("MarketCap", F.col("_cap") * safe_divide("ClosePrice", "_anchor")).drop("_cap", "_anchor")
 
 
 def weekly_features(filled: DataFrame) -> DataFrame:
-    """Market ratios, null rules, weekly lags and nulled quarter lags; all weeks."""
+    """Market ratios, null rules and weekly lags; all weeks."""
     cap = F.col("MarketCap")
-    market = {
+    ruled = {
         "BookToMarket": safe_divide("totalStockholdersEquity", cap),
-        "MarketCap": cap,
         "FreeCashFlowYield": null_where(safe_divide("freeCashFlow", cap), "FreeCashFlowZeroFlag"),
         "FreeCashFlowYield_TTM": null_where(safe_divide("freeCashFlow_TTM", cap), "FreeCashFlowTTMZeroFlag"),
         "EarningsYield": safe_divide("netIncome", cap),
         "EarningsYield_TTM": safe_divide("netIncome_TTM", cap),
+        "InvestmentIntensity": null_where("InvestmentIntensity", "CapexReportedZeroFlag"),
+        "DebtToAssets": null_where("DebtToAssets", "SuspiciousTotalDebtZeroFlag"),
     }
-    rules = {"InvestmentIntensity": "CapexReportedZeroFlag", "DebtToAssets": "SuspiciousTotalDebtZeroFlag"}
-    statement = [null_where(n, rules[n]).alias(n) if n in rules else F.col(n) for n in STATEMENT_FEATURES]
-    lagged = [f"{n}_L{k}Q" for k in (1, 2) for n in STATEMENT_FEATURES]
-    values = filled.select(
-        "symbol", "WeekEndingFriday", "QuarterlyReleased", *[market[n].alias(n) for n in MARKET_FEATURES], *statement,
-        *[null_where(c, f"{c}MissingFlag").alias(c) for c in lagged],
+    values = filled.withColumns(ruled).select(
+        "symbol", "WeekEndingFriday", "QuarterlyReleased", *MARKET_FEATURES, *STATEMENT_FEATURES, *LAGGED
     )
-    w = entity_window("symbol", "WeekEndingFriday")
-    with_lags = values.select("*", *[F.lag(n, k).over(w).alias(f"{n}_L{k}W") for k in (1, 2) for n in MARKET_FEATURES])
-    return with_lags.select("WeekEndingFriday", "symbol", *fundamentals_columns())
+    week = "partition by symbol order by WeekEndingFriday asc nulls last"
+    lags = [f"lag({n}, {k}) over ({week}) as {n}_L{k}W" for k in (1, 2) for n in MARKET_FEATURES]
+    return values.selectExpr("*", *lags).select("WeekEndingFriday", "symbol", *fundamentals_columns())
 
 
 def point_in_time_fundamentals(statements: DataFrame, bars: DataFrame, start: str | None = START_DATE) -> DataFrame:

@@ -66,7 +66,7 @@ def classify_summary(news: DataFrame, similarity: bool = True, unescape: bool =
     clean = news.withColumns({
         "Headline": normalize_text("Headline", unescape), "Summary": normalize_text("Summary", unescape),
     })
-    forms = clean.withColumns({"_text": canonical("Summary"), "_head": canonical("Headline")})
+    forms = clean.withColumns({"_text": canonical("Summary", True), "_head": canonical("Headline", True)})
     split = forms.withColumns({"_tokens": words("_text"), "_head_tokens": words("_head")})
     parts = [F.col(c) for c in ("Summary", "_text", "_head", "_tokens", "_head_tokens")]
     classed = split.withColumns({

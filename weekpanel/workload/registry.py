@@ -11,8 +11,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from weekpanel.workload.fixtures import FIXTURES, Tables, needed
 
@@ -28,7 +27,7 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.run(Tables(spark, sf_dir)).select(*[_spark_out(n, k) for n, k in self.columns])
+        return self.run(Tables(spark, sf_dir)).selectExpr(*[_spark_out(n, k) for n, k in self.columns])
 
     def oracle(self) -> str | None:
         if self.sql is None:
@@ -43,15 +42,15 @@ class _Plain(dict):
         return key
 
 
-def _spark_out(name: str, kind: str) -> Column:
-    c = F.col(f"`{name}`")
+def _spark_out(name: str, kind: str) -> str:
+    c = f"`{name}`"
     if kind == "l":
-        return c.cast("long").alias(name)
+        return f"cast({c} as bigint) as {c}"
     if kind == "d":
-        return (F.floor(c.cast("double") * 1e6 + 0.5) / 1e6).alias(name)
+        return f"floor(cast({c} as double) * 1e6D + 0.5D) / 1e6D as {c}"
     if kind == "t":
-        return F.date_format(c.cast("date"), "yyyy-MM-dd").alias(name)
-    return c.cast("string").alias(name)
+        return f"date_format(cast({c} as date), 'yyyy-MM-dd') as {c}"
+    return f"cast({c} as string) as {c}"
 
 
 def _sql_out(name: str, kind: str) -> str:
