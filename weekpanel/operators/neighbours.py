@@ -47,7 +47,7 @@ def _nearest(test_ids, test, train_ids, labels, train, k: int, step: int = 512)
             first = np.lexsort((train_ids[idx], exact))[:k]
             out.append((np.repeat(test_ids[s + i], len(first)), train_ids[idx][first], labels[idx][first], exact[first]))
     if not out:
-        return pd.DataFrame({"test_id": [], "train_id": [], "label": [], "distance": []})
+        return pd.DataFrame(columns=["test_id", "train_id", "label", "distance"], dtype=object)
     a, b, c, d = (np.concatenate(x) for x in zip(*out))
     return pd.DataFrame({"test_id": a, "train_id": b, "label": c, "distance": d})
 
@@ -95,7 +95,7 @@ def nearest(test: DataFrame, train: DataFrame, k: int, id_column: str, vector: s
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"test_id": [], "train_id": [], "label": [], "distance": []})
+            return pd.DataFrame(columns=["test_id", "train_id", "label", "distance"], dtype=object)
         return _nearest(a[id_column].to_numpy(), _matrix(a[vector], cosine), b[id_column].to_numpy(),
                         b[label].to_numpy(), _matrix(b[vector], cosine), k)
 

@@ -100,7 +100,7 @@ def occurrence_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
 
 
 def largest_remainder(groups: DataFrame, keys: Sequence[str], weight: str, total: Column, order: Sequence[str],
-                      name: str = "quota", steps: int = 4096) -> DataFrame:
+                      name: str = "quota", steps: int = 4096, weight_sum: Column | None = None) -> DataFrame:
     """Share out ``total`` over the groups of each key in proportion to their weights.
 
     Everyone gets the floor of the exact share. What is left goes to the largest fractions, then the
@@ -109,8 +109,11 @@ def largest_remainder(groups: DataFrame, keys: Sequence[str], weight: str, total
     keys = list(keys)
     # without a key the sums are one row; the constant key keeps one code path
     base, by = (groups, keys) if keys else (groups.withColumn("_all", F.lit(1)), ["_all"])
-    sums = base.groupBy(*by).agg(F.sum(weight).alias("_sum"))
-    with_total = base.join(sums, by).withColumn("_total", total)
+    if weight_sum is None:
+        base = base.join(base.groupBy(*by).agg(F.sum(weight).alias("_sum")), by)
+    else:
+        base = base.withColumn("_sum", weight_sum)
+    with_total = base.withColumn("_total", total)
     exact = F.when(F.col("_sum") > 0, F.col(weight) / F.col("_sum") * F.col("_total")).otherwise(F.lit(0.0))
     shares = (
         with_total.withColumn("_exact", exact)

@@ -100,7 +100,7 @@ def _solve(names: list[str], tested: list[int], min_rows: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].sum())
-        empty = pd.DataFrame({"entity": [], "names": [], "beta": [], "n": [], "f": [], "df1": [], "df2": [], "p": []})
+        empty = pd.DataFrame(columns=["entity", "names", "beta", "n", "f", "df1", "df2", "p"], dtype=object)
         if n < min_rows:
             return empty
         stacked = np.vstack(pdf["r"].to_list())

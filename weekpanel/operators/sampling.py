@@ -40,25 +40,24 @@ def balance_binary(df: DataFrame, target: str, date: str = "WeekEndingFriday", e
     by = per or ["_all"]
     tagged = base.withColumn("_year", F.year(date))
     groups = tagged.groupBy(*by, target, entity, "_year").agg(F.count(F.lit(1)).alias("_n"))
-    classes = groups.groupBy(*by, target).agg(F.sum("_n").alias("_size"))
-    low = F.min(F.struct("_size", F.col(f"`{target}`").alias("c")))
-    high = F.max(F.struct("_size", F.col(f"`{target}`").alias("c")))
+    classes = groups.groupBy(*by, target).agg(F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_groups"))
+    ranked = F.struct("_size", F.col(f"`{target}`").alias("c"), "_groups")
     rule = classes.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_classes"), low.alias("_lo"), high.alias("_hi")
+        F.count(F.lit(1)).alias("_classes"), F.min(ranked).alias("_lo"), F.max(ranked).alias("_hi")
     ).filter((F.col("_classes") == 2) & (F.col("_lo._size") < F.col("_hi._size"))).select(
-        *by, F.col("_hi.c").alias("_major"), F.col("_lo._size").alias("_keep")
+        *by, F.col("_hi.c").alias("_major"), F.col("_hi._size").alias("_all_rows"), F.col("_hi._groups").alias("_groups"),
+        F.col("_lo._size").alias("_keep"),
     )
     major = groups.join(rule, by).filter(F.col(f"`{target}`") == F.col("_major"))
-    n_groups = major.groupBy(*by).agg(F.count(F.lit(1)).alias("_groups"))
-    major = major.join(n_groups, by)
     enough = F.col("_keep") >= F.col("_groups")
+    spare = F.when(enough, F.col("_all_rows") - F.col("_groups")).otherwise(F.col("_all_rows"))
     weighted = major.select(
-        *by, entity, "_year", "_n", "_keep", "_groups",
+        *by, entity, "_year", "_n", "_keep", "_groups", spare.alias("_spare"),
         F.when(enough, F.col("_n") - 1).otherwise(F.col("_n")).alias("_w"),
         F.when(enough, 1).otherwise(0).alias("_floor"),
     )
     totals = F.when(enough, F.col("_keep") - F.col("_groups")).otherwise(F.col("_keep"))
-    quotas = largest_remainder(weighted, by, "_w", totals, [entity, "_year"], "_extra").select(
+    quotas = largest_remainder(weighted, by, "_w", totals, [entity, "_year"], "_extra", weight_sum=F.col("_spare")).select(
         *by, entity, "_year", (F.col("_floor") + F.col("_extra")).alias("_q")
     )
     order = [F.col(date), *[F.col(f"`{c}`") for c in df.columns if c not in (date, entity, *per)]]

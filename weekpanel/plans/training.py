@@ -87,13 +87,27 @@ def per_sector(modeling: DataFrame, sectors: Sequence, job, sector: str = "Secto
         return pool.map(lambda s: (s, job(modeling.filter(F.col(sector) == s))), list(sectors))
 
 
-def train_and_rank(modeling: DataFrame, sectors: Sequence, sector: str = "SectorCode", years: dict | None = None,
+def trainable_sectors(parts: dict[str, DataFrame], sector: str = "SectorCode") -> list:
+    """Sectors with both classes to learn from and rows in every part."""
+    found = None
+    for name in ("train_balanced", "validation", "test"):
+        need = 2 if name == "train_balanced" else 1
+        s = parts[name].groupBy(sector).agg(F.count_distinct(F.col(f"`{TARGET}`")).alias("n")).filter(F.col("n") >= need).select(sector)
+        found = s if found is None else found.intersect(s)
+    return [r[0] for r in found.orderBy(sector).collect()]
+
+
+def train_and_rank(modeling: DataFrame, sectors: Sequence | None, sector: str = "SectorCode", years: dict | None = None,
                    c_grid: Sequence[float] = tuple(M.C_GRID), forest_grid: Sequence[dict] | None = None,
                    boost_grid: Sequence[dict] | None = None, net_grid: Sequence[dict] = ({"hidden1": 32, "hidden2": 16},),
                    threads: int = 2) -> DataFrame:
-    """One row per sector and model with accuracies and parameters, ranked."""
+    """One row per sector and model with accuracies and parameters, ranked.
+
+    Without a list all sectors that can be trained are; a listed sector without rows is an error.
+    """
     whole = datasets(modeling, sector, years)
     frozen = {n: freeze(df) for n, df in whole.items()}
+    sectors = trainable_sectors(frozen, sector) if sectors is None else list(sectors)
     features = [c for c in M.feature_columns(modeling) if c != sector]
     forests = list(forest_grid) if forest_grid is not None else M.grid(M.FOREST_GRID)
     boosts = list(boost_grid) if boost_grid is not None else M.grid(M.BOOST_GRID)
@@ -103,7 +117,7 @@ def train_and_rank(modeling: DataFrame, sectors: Sequence, sector: str = "Sector
         return [(s, *row) for row in train_sector(parts, features, c_grid, forests, boosts, list(net_grid))]
 
     with ThreadPool(threads) as pool:
-        rows = [r for rs in pool.map(run, list(sectors)) for r in rs]
+        rows = [r for rs in pool.map(run, sectors) for r in rs]
     kind = modeling.schema[sector].dataType.simpleString()
     table = modeling.sparkSession.createDataFrame(
         rows, f"sector {kind}, model string, validation_accuracy double, test_accuracy double, params map<string,string>"

@@ -96,9 +96,9 @@ def read_model_results(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_labeled_sentences(spark: SparkSession, path: str) -> DataFrame:
     """Latin-1 lines ``sentence@label``; the last ``@`` separates."""
-    line = F.trim("value")
-    text = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path).filter(line != "")
-    return labeled_sentences(text, "value")
+    # The text source reads UTF-8 only; a CSV read with a separator no text holds gives decoded lines.
+    lines = spark.read.schema("value string").csv(path, sep="\u0001", quote="", escape="", encoding="ISO-8859-1")
+    return labeled_sentences(lines.filter(F.trim("value") != ""), "value")
 
 
 def labeled_sentences(lines: DataFrame, column: str) -> DataFrame:

@@ -385,8 +385,7 @@ def _(t):
 @query("train_and_rank", "P14 P15 J13 J15 J18", "sector:l model:s test_accuracy:d rank:l position:l")
 def _(t):
     modeling = freeze(modeling_of(t))
-    sectors = [r[0] for r in modeling.select("SectorCode").distinct().orderBy("SectorCode").collect()]
-    return train_and_rank(modeling, sectors, years=_YEARS_NEWS, threads=4, **SMALL_GRID)
+    return train_and_rank(modeling, None, years=_YEARS_NEWS, threads=4, **SMALL_GRID)
 
 
 @query("text_classifier_accuracy", "J22 J23 J24 J3", "model:s accuracy:d n:l")
