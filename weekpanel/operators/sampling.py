@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekpanel.operators.joins import broadcast_if_small
 from weekpanel.operators.ranking import bucketed_position, largest_remainder
 from weekpanel.operators.reshape import year_between
 
@@ -92,7 +93,7 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], fraction: fl
     numbered = _shuffled_position(df, label, key, seed)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     quota = largest_remainder(sizes, [], "_n", F.ceil(F.lit(fraction) * F.col("_sum")), [label], "_test").drop("_n")
-    marked = numbered.join(F.broadcast(quota), label)
+    marked = numbered.join(broadcast_if_small(quota), label)
     columns = [F.col(f"`{c}`") for c in df.columns]
     inside = F.col("_pos") <= F.col("_test")
     return marked.filter(~inside).select(*columns), marked.filter(inside).select(*columns)

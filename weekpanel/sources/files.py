@@ -124,9 +124,10 @@ def write_table(df: DataFrame, path: str, sort_by: Sequence[str] = (), partition
 def write_by_entity(df: DataFrame, path: str, entity: str = "Ticker", max_records: int = 5_000_000) -> None:
     """One folder per entity; a large entity is cut into several files.
 
-    No repartition by entity: a hot entity would then be written by a single task.
+    The rebalance hint gathers small entities and splits a hot one over several tasks; a plain
+    repartition by entity would leave the hot one to a single task.
     """
-    df.write.mode("overwrite").partitionBy(entity).option("maxRecordsPerFile", max_records).option(
+    df.hint("rebalance", entity).write.mode("overwrite").partitionBy(entity).option("maxRecordsPerFile", max_records).option(
         "partitionOverwriteMode", "dynamic"
     ).parquet(path)
 

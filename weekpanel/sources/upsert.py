@@ -13,11 +13,12 @@ def refresh_partitions(new: DataFrame, path: str, key: str) -> None:
     """Replace all stored rows of the refreshed keys; other keys are neither read nor rewritten.
 
     The table is laid out by key, so this is a dynamic partition overwrite. An empty batch holds no
-    key and changes nothing. Running the same batch again gives the same table.
+    key and changes nothing. Running the same batch again gives the same table. The rebalance hint
+    lets AQE gather the rows of a key into few files and split a hot key over several tasks.
     """
     if new.isEmpty():
         return
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    new.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
 def append_batch(new: DataFrame, path: str, batch_id: int) -> None:
