@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from weekpanel.plans.scoring import TEXT, analysis_text, distinct_texts, lexicon_scores, missing_texts
@@ -22,15 +23,24 @@ def stream_weekly_counts(events: DataFrame, ts: str, keys: Sequence[str], delay:
     Epoch day 0 was a Thursday, so weeks start two days after it. The label is the Friday. A hot key
     costs one partial count per task and window.
     """
-    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    timed = events.withColumn(ts, instant(events, ts))
     weeks = F.window(ts, "7 days", "7 days", "2 days").alias("week")
     counted = timed.withWatermark(ts, delay).groupBy(*keys, weeks).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(*keys, F.date_sub(F.col("week.end").cast("date"), 1).alias("WeekEndingFriday"), "n")
+    friday = F.date_from_unix_date((F.floor(F.unix_seconds("week.end") / 86400) - 1).cast("int"))
+    return counted.select(*keys, friday.alias("WeekEndingFriday"), "n")
+
+
+def instant(df: DataFrame, ts: str) -> Column:
+    """Event time for a watermark. A time without zone is UTC, whatever the session zone is."""
+    c = F.col(ts)
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return F.convert_timezone(F.lit("UTC"), F.current_timezone(), c).cast("timestamp")
+    return c
 
 
 def stream_dedup_news(articles: DataFrame, delay: str = "14 days") -> DataFrame:
     """First copy of every (ID, Ticker) inside the delay. Articles without a valid id pass unchanged."""
-    timed = articles.withColumn("Date", F.col("Date").cast("timestamp")).withWatermark("Date", delay)
+    timed = articles.withColumn("Date", instant(articles, "Date")).withWatermark("Date", delay)
     return timed.dropDuplicatesWithinWatermark(["ID", "Ticker"])
 
 

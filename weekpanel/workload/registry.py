@@ -49,7 +49,7 @@ def _spark_out(name: str, kind: str) -> str:
     if kind == "d":
         return f"floor(cast({c} as double) * 1e6D + 0.5D) / 1e6D as {c}"
     if kind == "t":
-        return f"date_format(cast({c} as date), 'yyyy-MM-dd') as {c}"
+        return f"cast(cast({c} as date) as string) as {c}"
     return f"cast({c} as string) as {c}"
 
 
