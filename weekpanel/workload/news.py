@@ -20,6 +20,7 @@ from weekpanel.plans.reports import missing_profile
 from weekpanel.plans.scoring import analysis_text, distinct_texts, lexicon_scores, missing_texts, score_with_cache, usable_cache
 from weekpanel.plans.summary_quality import classify_summary, impute_summary, summary_quality_report, top_issues
 from weekpanel.plans.weekly_news import attach_headline, coefficients_wide, granger_weekly_score, modeling_table, weekly_news_features
+from weekpanel.session import freeze
 from weekpanel.sources.files import labeled_sentences, prune_entities
 from weekpanel.workload.fundamentals import PANEL, PANEL_COLUMNS, PANEL_OUT, panel_of
 from weekpanel.workload.prices import FRI
@@ -355,7 +356,8 @@ MODELING_OUT = PANEL_OUT + " " + " ".join(f"{c}:d" for c in MODEL_NEWS_COLUMNS)
 
 
 def modeling_of(t):
-    panel = panel_of(t)
+    """The panel is stored once: its keys align the news, its rows make the table."""
+    panel = freeze(panel_of(t))
     return modeling_table(panel, granger_weekly_score(weekly_of(t), panel))
 
 
