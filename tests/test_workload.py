@@ -52,7 +52,7 @@ def test_entry_has_rows(spark):
 
 def test_all_operators_are_covered():
     """Every operator id of the inventory is run by a query or named in the list of unit-tested ones."""
-    covered = {c for q in QUERIES.values() for c in q.covers}
+    covered = {c for q in QUERIES.values() for c in getattr(q, "covers", ())}
     unit_tested = {"A4", "A5", "A6", "A10"}  # files and databases the data folder does not hold
     wanted = {f"{a}{i}" for a, n in (("A", 11), ("B", 14), ("C", 16), ("D", 17), ("E", 21), ("F", 9), ("G", 6), ("H", 26), ("I", 6),
                                      ("J", 27), ("K", 4), ("M", 5), ("P", 22)) for i in range(1, n + 1)}
