@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekpanel.llm.common import read
+from weekpanel.llm.common import read, remainder, words
+from weekpanel.llm.extraction import extract
+from weekpanel.llm.katz import score_texts
+from weekpanel.llm.mixing import mix
+from weekpanel.llm.neighbours import nearest
+from weekpanel.llm.packing import pack
+from weekpanel.llm.quality import classify_quality
 from weekpanel.llm.rules import quality_rules
 from weekpanel.llm.sharding import shard_by_bytes
+from weekpanel.llm.toxicity import classify_toxicity
+from weekpanel.session import freeze
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,6 +29,28 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = freeze(read(spark, sf_dir, "documents").select("doc_id", "source", F.size(words(F.col("text"))).alias("n")))
+    return mix(sized, F.col("n")).select(
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
+    )
+
+
+@query
+def op2_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classify_toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op3_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+    )
+
+
 @query
 def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_by_bytes(read(spark, sf_dir, "documents"))
@@ -28,6 +59,28 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classify_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) == 0)
+
+
+@query
+def op8_best_run_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
