@@ -154,7 +154,7 @@ def nearest(
 
     stored = freeze(good.withColumn("q", F.coalesce("q", F.lit(False))).mapInArrow(routed, "id long, v array<double>, q boolean, parts array<int>"))
     held = {r["part"]: r["count"] for r in stored.groupBy(F.get("parts", F.lit(0)).alias("part")).count().collect()}  # a number per part
-    probes = min(parts, max(least, round(share * parts)))
+    probes = min(parts, max(least, int(np.ceil(share * parts))))
     rows_in = F.create_map(*[F.lit(x) for p in range(parts) for x in (p, held.get(p, 0))])
     queries = stored.where("q").groupBy("id").agg(F.min_by(F.struct("v", "parts"), F.col("v")).alias("s")).select("id", "s.v", "s.parts")
     running = F.transform("parts", lambda p: F.element_at(rows_in, p))

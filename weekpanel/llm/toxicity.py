@@ -20,18 +20,19 @@ from pyspark.sql import functions as F
 
 from weekpanel.llm.common import labelled_sample, remainder
 
-LANDMARKS = 192
+LANDMARKS, CANDIDATES = 128, 600
 POWER = 4
 DECAY = 0.6
 #: Places of the second and third character after the first: up to two skipped characters.
 GAPS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
-LEAST = 0.5  # kernel values below this count as 0
+COST = 300.0  # of all errors together, against the length of the weights
+LEAST = 0.6  # kernel values below this count as 0
 #: Labelled rows of each class to learn from, at most, and the longest text among them. Scoring has no such limit.
 PER_CLASS, LEARN_CHARS = 2500, 20_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 SENTENCE = re.compile(r"[.!?\n]+")
 SPELLED = re.compile(r"(?<!\w)(?:\w[^\w\n]{1,2}){3,}\w(?!\w)")  # letters one by one
-EDGE = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}|"
+EDGE = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}|#$%&*<>@^~=+_-/\\`\u201c\u201d\u2018\u2019\u00ab\u00bb\u2026"
 
 
 def _triples(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,22 +84,29 @@ class Landmarks:
         total = np.bincount(owner, weights=weight, minlength=len(found))
         some = [found[i] for i in np.flatnonzero(share > 0.4 * total)]
         out = {}
-        for at in range(0, len(some), 4096):
-            part = some[at : at + 4096]
+        for at in range(0, len(some), 2048):
+            part = some[at : at + 2048]
             owner, code, value = _joined(part)
             keep = self.row[code] >= 0
-            k = np.zeros((len(part), len(self.chosen)))
-            np.add.at(k, owner[keep], value[keep, None] * self.table[self.row[code[keep]]])
+            owner, rows = owner[keep], value[keep, None] * self.table[self.row[code[keep]]]
+            k, first = np.zeros((len(part), len(self.chosen))), np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])[: len(owner)]
+            if len(owner):
+                k[owner[first]] = np.add.reduceat(rows, first)
             k[k < LEAST] = 0
             out |= {part[i]: k[i] ** POWER for i in np.flatnonzero(k.any(1))}
         return out
 
 
-def units(sentence: str) -> list[str]:
-    """Words without marks at their edges, words cut into windows where very long, and words spelled letter by letter."""
-    found = [w for w in (x.strip(EDGE) for x in sentence.split()) if len(w) > 2]
-    found += [re.sub(r"\W", "", m.group()) for m in SPELLED.finditer(sentence)]
-    return [p for w in found for p in ([w] if len(w) <= 32 else [w[i : i + 32] for i in range(0, len(w) - 16, 16)])]
+def units(token: str) -> list[str]:
+    """A word without marks at its edges, and without any; in overlapping windows where very long; none under three characters."""
+    w = token.strip(EDGE)
+    both = [w] if w.isalnum() else [w, re.sub(r"[\W_]", "", w)]
+    return [p for w in both if len(w) > 2 for p in ([w] if len(w) <= 32 else [w[i : i + 32] for i in range(0, len(w) - 16, 16)])]
+
+
+def spelled(sentence: str) -> list[str]:
+    """Words that are spelled letter by letter."""
+    return [re.sub(r"\W", "", m.group()) for m in SPELLED.finditer(sentence)]
 
 
 def sentences(text: str | None) -> Iterator[str]:
@@ -136,55 +144,70 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 4) -> SentenceSVM:
+def typical_words(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> list[str]:
+    """Words that toxic documents hold far more often than clean ones, most typical first.
+
+    A word counts together with its kernel neighbours: variants of an insult support each other, and a word that is put together of everyday
+    parts has clean neighbours against it.
+    """
+    def gain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a - b * n_toxic / n_clean) / np.sqrt(a + b + 1)
+
+    first = {w: gain(a, clean[w]) for w, a in toxic.items() if a >= 2 and len(w) >= 4}
+    some = sorted((w for w, g in first.items() if g > 1), key=lambda w: (-first[w], w))[:CANDIDATES]
+    if not some:
+        return []
+    around = Landmarks(some).near(sorted(w for w in toxic.keys() | clean.keys() if toxic[w] + clean[w] >= 2))
+    a, b = np.zeros(len(some)), np.zeros(len(some))
+    for w, k in around.items():
+        a += k * toxic[w]
+        b += k * clean[w]
+    smooth = dict(zip(some, gain(a, b), strict=True))
+    best = sorted(some, key=lambda w: (-smooth[w], w))
+    return [w for w in best if smooth[w] > 2][:LANDMARKS] or best[:8]
+
+
+def fit(texts: list[str], y: np.ndarray, rounds: int = 5) -> SentenceSVM:
     """Learn from labelled documents; alternates between fitting and choosing the toxic sentences of toxic documents."""
     none = SentenceSVM((), np.zeros(0), -1.0, 4.0, 0.0)
     if len(y) == 0 or y.min() == y.max():  # nothing to tell apart
         return none
-    docs = [[u for u in map(units, sentences(t)) if u] for t in texts]
-    seen = [{w for s in d for w in s} for d in docs]
-    n = [max(1, int((y == c).sum())) for c in (0, 1)]
+    docs = [[{u for x in s.split() for u in units(x)} | {*spelled(s)} for s in sentences(t)] for t in texts]
+    seen = [set().union(*d) for d in docs]
+    n = [int((y == c).sum()) for c in (0, 1)]
     clean, toxic = Counter(), Counter()
     for s, label in zip(seen, y, strict=True):
         (toxic if label == 1 else clean).update(s)
-    typical = {w: (a - clean[w] * n[1] / n[0]) / np.sqrt(a + clean[w] + 1) for w, a in toxic.items() if a >= 3}
-    chosen = sorted((w for w, g in typical.items() if g > 1.2), key=lambda w: (-typical[w], w))[:LANDMARKS]
+    chosen = typical_words(toxic, clean, n[1], n[0])
     if not chosen:
         return none
     marks = Landmarks(chosen)
     near = marks.near(sorted(set().union(*seen)))
-    rows, bag = [], []
-    for i, d in enumerate(docs):
-        for s in d:
-            hits = [near[w] for w in s if w in near]
-            if hits:
-                rows.append(np.sum(hits, axis=0))
-                bag.append(i)
-        rows.append(np.zeros(len(chosen)))  # a sentence far from every landmark
-        bag.append(i)
-    z, bag = np.array(rows), np.array(bag)
+    found = [(i, np.sum([near[w] for w in s & near.keys()], axis=0)) for i, d in enumerate(docs) for s in d if s & near.keys()]
+    bag = np.array([i for i, _ in found], dtype=np.int64)
+    z = np.vstack([np.array([v for _, v in found]).reshape(-1, len(chosen)), np.zeros(len(chosen))])  # the last stands for sentences far from all
     k = np.array([marks.near([w]).get(w, np.zeros(len(chosen))) for w in chosen])
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T  # Nyström map
-    mapped, of_toxic = z @ root, y[bag] == 1
-    empty = ~z.any(1)
-    label = np.where(of_toxic & ~empty, 1.0, -1.0)
+    mapped, of_toxic = z @ root, np.append(y[bag] == 1, False)
+    label = np.where(of_toxic, 1.0, -1.0)
     for _ in range(rounds):
-        cost = np.where(label > 0, 1.0 / max(1, (label > 0).sum()), 1.0 / max(1, (label < 0).sum())) * 200
-        w = _svm(mapped, label, cost)
+        cost = np.where(label > 0, 1.0 / max(1, (label > 0).sum()), 0.5 / max(1, (label < 0).sum()))
+        cost[-1] = 0.5
+        w = _svm(mapped, label, COST * cost)
         margin = mapped @ w[:-1] + w[-1]
-        best = np.full(len(y), -np.inf)
-        np.maximum.at(best, bag, margin)
-        new = np.where(of_toxic & ~empty & ((margin > 0) | (margin >= best[bag])), 1.0, -1.0)
+        best = np.full(len(y), margin[-1])
+        np.maximum.at(best, bag, margin[:-1])
+        new = np.where(of_toxic & ((margin > 0) | (margin >= np.append(best[bag], np.inf))), 1.0, -1.0)
         if (new == label).all():
             break
         label = new
     slope, shift = 2.0, 0.0
-    for _ in range(300):  # margins to probabilities
+    weight = np.where(y == 1, 0.3 / n[1], 0.7 / n[0])
+    for _ in range(500):  # margins to probabilities, as if three documents in ten were toxic
         p = 1 / (1 + np.exp(-np.clip(slope * best + shift, -30, 30)))
-        weight = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
-        slope -= 4 * (((p - y) * best * weight).sum() + 1e-3 * slope)
-        shift -= 4 * ((p - y) * weight).sum()
+        slope -= 4 * ((weight * (p - y) * best).sum() + 1e-3 * slope)
+        shift -= 4 * (weight * (p - y)).sum()
     return SentenceSVM(tuple(chosen), root @ w[:-1], float(w[-1]), float(max(slope, 0.1)), float(shift))
 
 
@@ -194,25 +217,30 @@ class Scorer:
     def __init__(self, model: SentenceSVM):
         self.model, self.marks = model, Landmarks(list(model.landmarks))
         self.known: set[str] = set()
+        self.near: set[str] = set()  # tokens, as they stand in texts, that come near a landmark
         self.hits: dict[str, np.ndarray] = {}
 
     def __call__(self, texts: Iterable[str | None]) -> np.ndarray:
         lower = [(t or "").lower() for t in texts]
-        whole = [units(t) for t in lower]
-        new = set().union(*whole).difference(self.known)
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, self.hits, new = set(), {}, set().union(*whole)
-        found = sorted(new)
+        tokens = [set(t.split()) for t in lower]
+        letters = [spelled(t) for t in lower]
+        every = set().union(*tokens)
+        if len(self.known) + len(every) > KEPT_WORDS:
+            self.known, self.hits, self.near = set(), {}, set()
+        new = every - self.known
+        self.known |= new
+        found = sorted({u for x in new for u in units(x)} | {w for ws in letters for w in ws if len(w) > 2})
         for at in range(0, len(found), 50_000):
             self.hits |= self.marks.near(found[at : at + 50_000])
-        self.known |= new
+        self.near |= {x for x in new if any(u in self.hits for u in units(x))}
         margins = np.full(len(lower), self.model.bias)
-        for i, own in enumerate(whole):
-            if not self.hits.keys().isdisjoint(own):
+        for i, own in enumerate(tokens):
+            if letters[i] or not self.near.isdisjoint(own):
                 for s in sentences(lower[i]):
-                    near = [self.hits[w] for w in units(s) if w in self.hits]
-                    if near:
-                        margins[i] = max(margins[i], float(np.sum(near, axis=0) @ self.model.weights) + self.model.bias)
+                    words = {u for x in self.near.intersection(s.split()) for u in units(x)} | {*(spelled(s) if letters[i] else ())}
+                    values = [self.hits[w] for w in words if w in self.hits]
+                    if values:
+                        margins[i] = max(margins[i], float(np.sum(values, axis=0) @ self.model.weights) + self.model.bias)
         return 1 / (1 + np.exp(-np.clip(self.model.slope * margins + self.model.shift, -50, 50)))
 
 
