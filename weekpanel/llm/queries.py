@@ -12,6 +12,7 @@ from weekpanel.llm.common import read, remainder, words
 from weekpanel.llm.extraction import extract
 from weekpanel.llm.katz import score_texts
 from weekpanel.llm.mixing import mix
+from weekpanel.llm.neardup import near_duplicates
 from weekpanel.llm.neighbours import nearest
 from weekpanel.llm.packing import pack
 from weekpanel.llm.quality import classify_quality
@@ -70,6 +71,11 @@ def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) == 0)
 
 
+@query
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_best_run_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
