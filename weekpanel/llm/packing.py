@@ -6,6 +6,7 @@ summed in order, give every document its place in one long stream, which is cut
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable, Iterator
 
@@ -20,6 +21,7 @@ from weekpanel.session import freeze
 #: Ids of single words kept by a worker; its memory bound, not a limit of what is tokenised.
 KEPT_WORDS = 600_000
 LONG_WORD = 64
+RUN_WORDS, MARKS = 512, ".,;:!?"
 
 _encoders: dict[str, WordIds] = {}
 
@@ -35,25 +37,46 @@ class WordIds:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None  # which ids end a word, where the vocabulary tells
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def _encode(self, found: list[bytes]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch([w.decode() for w in found], add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
+    def _encode(self, found: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each word with its ids. Words of letters, alone or with one mark behind, are encoded in runs and told apart by their ends."""
+        texts, rest = [w.decode() for w in found], []
+        runs: dict[int, list[str]] = {1: [], 2: []}
+        for t in texts:
+            pieces = 0 if self.ends is None else 1 if t.isalpha() else 2 if t[-1] in MARKS and t[:-1].isalpha() else 0
+            (runs[pieces] if pieces else rest).append(t)
+        for pieces, run in runs.items():
+            for at in range(0, len(run), RUN_WORDS):
+                part = run[at : at + RUN_WORDS]
+                ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+                stops = np.flatnonzero(self.ends[ids])[pieces - 1 :: pieces] + 1
+                if len(stops) != len(part) or stops[-1] != len(ids):
+                    rest += part
+                    continue
+                raw, bounds = ids.tobytes(), (4 * stops).tolist()
+                yield from ((t.encode(), raw[s:e]) for t, s, e in zip(part, [0, *bounds], bounds, strict=False))
+        for t, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            yield t.encode(), np.array(e.ids, dtype="<u4").tobytes()
 
     def __call__(self, texts: Iterable[bytes | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            found = (text or b"").split()
-            new = list(set(found).difference(self.known))
-            if len(self.known) + len(new) > KEPT_WORDS:
-                self.known.clear()
-                new = list(set(found))
-            self.known.update(zip(new, self._encode(new), strict=True))
-            out.append(b"".join(map(self.known.__getitem__, found)))
-            for w in new:
-                if len(w) > LONG_WORD:
-                    del self.known[w]
+        found = [(text or b"").split() for text in texts]
+        every = set().union(*found)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known.clear()
+            new = every
+        self.known.update(self._encode(sorted(new)))
+        out = [b"".join(map(self.known.__getitem__, own)) for own in found]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.known[w]
         return out
 
 
@@ -64,7 +87,7 @@ def encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
-def _slices(batch: pa.RecordBatch, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``limit`` bytes of their last column."""
     sizes = np.cumsum([len(x) if x else 0 for x in batch.column(batch.num_columns - 1).cast(pa.large_binary()).to_pylist()])
     at = 0
