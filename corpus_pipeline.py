@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +18,21 @@ from weekpanel.session import shared_dir
 from weekpanel.sources.upsert import fresh_path
 
 
+def _judged(docs: DataFrame, classify: Callable[[DataFrame], DataFrame], keep: str) -> DataFrame:
+    """The rows of ``docs`` whose verdict meets ``keep``; other columns travel under names that cannot clash."""
+    names = {c: c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)}
+    judged = classify(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
+    return judged.where(keep).select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = classify_quality(docs, read(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(docs.columns)
+    return _judged(docs, lambda d: classify_quality(d, read(spark, sf_dir, "labels")), "predicted = 1")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
-    scored = classify_toxicity(docs, read(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(docs.columns)
+    return _judged(docs, lambda d: classify_toxicity(d, read(spark, sf_dir, "labels")), "predicted = 0")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,10 +126,18 @@ def scan(page: str | None) -> Iterator[tuple[str, str, bool]]:
         yield f"text:{kind or 'body'}", page[at:], bool(open_main)
 
 
+def parts_of(page: str | None) -> list[tuple[str, str, bool]]:
+    """The parts of a page; where it marks an article or main element, plain words beside that are told from those within."""
+    parts = list(scan(page))
+    if any(inside for _, _, inside in parts):
+        parts = [("text:outside" if what == "text:body" and not inside else what, value, inside) for what, value, inside in parts]
+    return parts
+
+
 def page_counts(page: str | None) -> Counter:
     """How often each kind of word and each tag stands inside and outside the labelled part; none without a label."""
     counts, labelled = Counter(), False
-    for what, value, inside in scan(page):
+    for what, value, inside in parts_of(page):
         content = inside and (not value if what.startswith("tag:") else what == "text:body")
         labelled |= inside
         counts[what if what[:4] == "text" or what[4:] in BLOCKS or what[4:] in INLINE else "tag:", content] += (
@@ -166,11 +174,13 @@ def learn_weights(pages: DataFrame, page: str = "html", order: str = "page_id")
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """The text of the best run of one page, blocks joined by a newline."""
+    """The text of the best run of one page, blocks joined by a newline. What is left out within an article costs the run nothing."""
     parts, scores = [], []
-    for what, value, _ in scan(page):
+    for what, value, inside in parts_of(page):
         parts.append((what, value))
-        if what[:4] == "text":
+        if inside and what != "text:body" and (value or what[:4] == "text"):
+            scores.append(0.0)
+        elif what[:4] == "text":
             n = len(value.split())
             scores.append(n * weights.get(what, BODY_WORD if what == "text:body" else -BODY_WORD))
         else:

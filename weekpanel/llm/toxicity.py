@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from weekpanel.llm.common import labelled_sample, remainder
 
 LANDMARKS, CANDIDATES = 128, 600
-POWER = 4
+POWER = 3
 DECAY = 0.6
 #: Places of the second and third character after the first: up to two skipped characters.
 GAPS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
@@ -30,7 +30,7 @@ LEAST = 0.6  # kernel values below this count as 0
 #: Labelled rows of each class to learn from, at most, and the longest text among them. Scoring has no such limit.
 PER_CLASS, LEARN_CHARS = 2500, 20_000
 KEPT_WORDS = 1_000_000
-SENTENCE = re.compile(r"[.!?\n]+")
+SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 SPELLED = re.compile(r"(?<!\w)(?:\w[^\w\n]{1,2}){3,}\w(?!\w)")  # letters one by one
 EDGE = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}|#$%&*<>@^~=+_-/\\`\u201c\u201d\u2018\u2019\u00ab\u00bb\u2026"
 
@@ -82,7 +82,7 @@ class Landmarks:
         known = self.row[code] >= 0
         share = np.bincount(owner[known], weights=weight[known], minlength=len(found))
         total = np.bincount(owner, weights=weight, minlength=len(found))
-        some = [found[i] for i in np.flatnonzero(share > 0.4 * total)]
+        some = [found[i] for i in np.flatnonzero(share > 0.33 * total)]
         out = {}
         for at in range(0, len(some), 2048):
             part = some[at : at + 2048]
