@@ -243,3 +243,26 @@ def test_var_equals_least_squares_over_many_batches(spark):
     beta = np.array([r["coefficients"][k] for k in ["const", *[f"L{lag}.{c}" for lag in (1, 2) for c in "yabc"]]])
     assert r["n_obs_used"] == n and np.allclose(x @ beta, x @ full, atol=1e-6)
     assert abs(r["f_statistic"] - f) < 1e-6 * max(1.0, f) and 0 <= r["p_value"] <= 1
+
+
+def test_foreign_key_stops_at_a_lost_fact(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    dim = spark.createDataFrame([("a", 7)], "k string, id int")
+    assert rows(joins.foreign_key(df.filter("k = 'a'"), dim, {"k": "k"}, "id", check=False)) == [(1, 7)]
+    for bad in (joins.foreign_key(df, dim, {"k": "k"}, "id", check=False), joins.foreign_key(df, dim.union(dim).union(dim.withColumn("k", F.lit("b"))), {"k": "k"}, "id", check=False)):
+        with pytest.raises(Exception, match="no single row"):
+            bad.collect()
+
+
+def test_lists_with_a_missing_value(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    for tail in ([], [f"x{i}" for i in range(2000)]):
+        assert rows(R.filter_not_in(df, "k", ["a", None, *tail])) == [("b",), (None,)]
+        assert rows(R.filter_in(df, "k", ["a", None, *tail])) == [("a",)]
+
+
+def test_quantiles_with_one_outlier(spark):
+    values = [*range(5000), 10**12]
+    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
+    got = exact_quantiles(df, "g", "v", [0.1, 0.5, 0.99, 1.0]).first()
+    assert [got[f"q{i}"] for i in range(4)] == [float(np.quantile(values, p)) for p in (0.1, 0.5, 0.99, 1.0)]

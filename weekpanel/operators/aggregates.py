@@ -158,32 +158,49 @@ def _pair_moments(columns: list[str]):
     return run
 
 
+def _number(column: str) -> Column:
+    """The column as a double, NaN as NULL."""
+    c = _q(column).cast("double")
+    return F.when(~F.isnan(c), c)
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str], native_pairs: int = NATIVE_PAIRS) -> DataFrame:
     """Pearson correlation of every pair (a before b), over the rows where both are present.
 
-    A few pairs are one native aggregate. For wide tables every task adds up its own pair moments
+    NaN counts as missing; where one side is constant the correlation is NULL. A few pairs are one native aggregate. For wide tables every task adds up its own pair moments
     with matrix products, centred on the column means, and one small row per pair and task is
     shuffled.
     """
     columns = list(columns)
     pairs = list(combinations(columns, 2))
     if len(pairs) <= native_pairs:
-        wide = df.agg(*[F.corr(_q(a).cast("double"), _q(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+        numbers = df.select(*[_number(c).alias(f"_c{i}") for i, c in enumerate(columns)])
+        at = {c: f"_c{i}" for i, c in enumerate(columns)}
+
+        def pair(a: str, b: str) -> Column:
+            x, y = F.col(at[a]), F.col(at[b])
+            spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+            return F.try_divide(F.covar_pop(x, y), spread)
+
+        wide = numbers.agg(*[pair(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
         rows = [
             F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)
         ]
         return wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
-    means = df.agg(*[F.avg(_q(c).cast("double")).alias(f"_{i}") for i, c in enumerate(columns)]).first()
-    centred = df.select(*[(_q(c).cast("double") - F.lit(means[i] or 0.0)).alias(f"_{i}") for i, c in enumerate(columns)])
+    means = df.agg(*[F.avg(_number(c)).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    centred = df.select(*[(_number(c) - F.lit(means[i] or 0.0)).alias(f"_{i}") for i, c in enumerate(columns)])
     moments = centred.mapInPandas(
         _pair_moments(columns),
         "a int, b int, n double, sx double, sy double, sxx double, syy double, sxy double",
     ).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     cov = n * F.col("sxy") - sx * sy
-    spread = F.sqrt(F.greatest(n * F.col("sxx") - sx * sx, F.lit(0.0))) * F.sqrt(
-        F.greatest(n * F.col("syy") - sy * sy, F.lit(0.0))
-    )
+
+    def deviation(squares: Column, total: Column) -> Column:
+        rest = n * squares - total * total
+        return F.when(rest > 1e-12 * n * squares, F.sqrt(rest)).otherwise(0.0)  # below that it is rounding of a constant
+
+    spread = deviation(F.col("sxx"), sx) * deviation(F.col("syy"), sy)
     name = F.array(*[F.lit(c) for c in columns])
     return moments.select(
         F.get(name, F.col("a")).alias("a"), F.get(name, F.col("b")).alias("b"), safe_divide(cov, spread).alias("r")
@@ -191,19 +208,20 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], native_pairs: int =
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, probabilities: Sequence[float],
-                    buckets: int = 1024) -> DataFrame:
+                    buckets: int = 256) -> DataFrame:
     """Interpolated quantiles per group, one column ``q0, q1, ...`` each.
 
     Works on the counts of the distinct values, cumulated inside value ranges of the group and then
-    over the ranges, so no task holds a whole group.
+    over the ranges. The ranges are cut at approximate quantiles of the distinct values, so they hold about equally many
+    whatever the values are, and no task holds a whole group.
     """
     v = _q(value).cast("double")
     values = df.filter(v.isNotNull()).groupBy(group, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     limits = values.groupBy(group).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
+        F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_cuts"), F.sum("_n").alias("_total")
     )
-    share = F.coalesce(safe_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    placed = values.join(limits, group).withColumn("_b", F.floor(share * (buckets - 1)))
+    below_value = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    placed = values.join(limits, group).withColumn("_b", below_value).drop("_cuts")
     below = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy(group, "_b").agg(F.sum("_n").alias("_m"))
     offsets = sizes.select(group, "_b", F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_below"))

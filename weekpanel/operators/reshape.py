@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from weekpanel.functions.text import label_column
 
 
-def pivot_wide(df: DataFrame, key: str, by: str, values: Sequence, measures: Sequence[str]) -> DataFrame:
-    """One row per key; columns ``<measure>_<by>_<value>``. Fixed values need no extra pass."""
-    out = df.groupBy(key).pivot(by, list(values)).agg(*[F.first(m, ignorenulls=True).alias(m) for m in measures])
+def pivot_wide(df: DataFrame, key: str, by: str, values: Sequence, measures: Sequence[str], newest: str | None = None) -> DataFrame:
+    """One row per key; columns ``<measure>_<by>_<value>``. Fixed values need no extra pass.
+
+    Where a (key, value) pair occurs twice, the row with the largest ``newest`` gives all measures; ties, and all
+    duplicates without such a column, go to the row with the largest measures. ``by`` values beyond the list drop out.
+    """
+    rank = F.struct(*([F.col(newest)] if newest else []), *[F.col(f"`{m}`") for m in measures])
+    kept = df.groupBy(key, by).agg(F.max(rank).alias("_best")).select(key, by, *[F.col(f"_best.`{m}`").alias(m) for m in measures])
+    out = kept.groupBy(key).pivot(by, list(values)).agg(*[F.first(m, ignorenulls=True).alias(m) for m in measures])
     if len(measures) == 1:
         return out.select(key, *[F.col(f"`{v}`").alias(f"{measures[0]}_{by}_{v}") for v in values])
     return out.select(key, *[F.col(f"`{v}_{m}`").alias(f"{m}_{by}_{v}") for m in measures for v in values])

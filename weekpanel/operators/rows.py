@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekpanel.functions.dates import in_range
-from weekpanel.functions.text import is_blank
+from weekpanel.functions.text import is_blank, normalize_id
 
 INLINE_VALUES = 1000
 
@@ -28,17 +28,17 @@ def filter_in(df: DataFrame, column: str, values) -> DataFrame:
     """Rows whose value is in a list, a scalar or a one-column table."""
     if isinstance(values, DataFrame):
         return df.join(values.select(F.col(values.columns[0]).alias(column)).distinct(), column, "left_semi")
-    values = [values] if isinstance(values, (str, int, float)) else list(values)
+    values = [v for v in ([values] if isinstance(values, (str, int, float)) else values) if v is not None]
     if len(values) <= INLINE_VALUES:
         return df.filter(F.col(f"`{column}`").isin(values))
     return df.join(_values(df, column, values), column, "left_semi")
 
 
 def filter_not_in(df: DataFrame, column: str, values) -> DataFrame:
-    """Rows whose value is not in the list; a missing value is not in any list and stays."""
+    """Rows whose value is not in the list; a missing value is not in any list and stays, also where the list holds one."""
     if isinstance(values, DataFrame):
         return df.join(values.select(F.col(values.columns[0]).alias(column)).distinct(), column, "left_anti")
-    values = list(values)
+    values = [v for v in values if v is not None]
     if len(values) <= INLINE_VALUES:
         c = F.col(f"`{column}`")
         return df.filter(c.isNull() | ~c.isin(values))
@@ -173,20 +173,18 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def branch_key(id_column: str, key: str, fallback: Sequence[str]) -> Column:
+    """Digest of (id, key) where the id is valid, else of key and fallback columns; a missing value equals a missing one."""
+    valid = normalize_id(id_column) != ""
+    parts = [F.when(valid, F.col(id_column)), F.col(key), *[F.when(~valid, F.col(c)) for c in fallback]]
+    return F.sha2(F.to_json(F.struct(*[p.cast("string").alias(f"f{i}") for i, p in enumerate(parts)])), 256)
+
+
 def dedup_two_branches(df: DataFrame, id_column: str, key: str, fallback: Sequence[str]) -> DataFrame:
     """One row per (id, key) where the id is valid, one per fallback columns elsewhere.
 
-    Both branches are one aggregate over a combined key.
+    Both branches are one aggregate over a digest of the combined key, so texts are neither grouped nor sorted by.
     """
-    from weekpanel.functions.text import normalize_id
-
-    valid = normalize_id(id_column) != ""
-    # Fallback values are compared as they are; a missing one equals a missing one.
-    tag = F.struct(
-        F.when(valid, F.col(id_column)).alias("id"),
-        F.col(key).alias("key"),
-        *[F.when(~valid, F.col(c)).alias(f"f{i}") for i, c in enumerate(fallback)],
-    )
     columns = df.columns
-    keyed = df.select(tag.alias("_k"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    keyed = df.select(branch_key(id_column, key, fallback).alias("_k"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
     return keyed.groupBy("_k").agg(F.min("_row").alias("_row")).select("_row.*")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from weekpanel.functions.numeric import safe_divide
 from weekpanel.functions.text import canonical, text_or_headline, words
+from weekpanel.session import freeze
 
 TEXT = "AnalysisText"
 FAMILIES = ["TEXTBLOB_", "FINBERT_", "EMO_"]
@@ -22,8 +23,9 @@ EMOTIONS = {"Joy": ["happy", "glad", "win", "wins", "record"], "Fear": ["fear",
 
 
 def digest(text: Column | str) -> Column:
-    """Join key of a text: rows then travel without the text itself."""
-    return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
+    """Join key of a text: rows then travel without the text itself. Empty texts have none, so they never meet in one task."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(c != "", F.sha2(c, 256))
 
 
 def analysis_text(news: DataFrame) -> DataFrame:
@@ -101,16 +103,20 @@ def missing_texts(texts: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def score_with_cache(news: DataFrame, cache: DataFrame, scorer: Callable[[DataFrame], DataFrame] = lexicon_scores,
-                     families: Sequence[str] = tuple(FAMILIES)) -> tuple[DataFrame, DataFrame]:
+                     families: Sequence[str] = tuple(FAMILIES), newest: str = "batch_id") -> tuple[DataFrame, DataFrame]:
     """Scores of every article, and the rows to add to the cache.
 
-    Only texts the cache does not cover are scored. Articles meet their scores over a text digest.
+    Only texts the cache does not cover are scored, once: their scores are stored before both results read them. Of several cache
+    rows of a text the one with the largest ``newest`` counts (where the cache has that column), ties by the largest
+    scores. Articles meet their scores over a text digest.
     """
     prepared = analysis_text(news)
     usable = usable_cache(cache, families)
-    fresh = scorer(missing_texts(distinct_texts(prepared), usable))
+    fresh = freeze(scorer(missing_texts(distinct_texts(prepared), usable)))
     known = usable.unionByName(fresh, allowMissingColumns=True)
-    metrics = [c for c in known.columns if c != TEXT]
-    side = known.select(digest(TEXT).alias("_d"), *[F.col(f"`{c}`") for c in metrics])
+    metrics = [c for c in known.columns if c not in (TEXT, newest)]
+    order = [F.col(f"`{c}`") for c in ([newest] if newest in known.columns else []) + metrics]
+    side = known.select(digest(TEXT).alias("_d"), F.struct(*order).alias("_s")).groupBy("_d").agg(F.max("_s").alias("_s"))
+    side = side.select("_d", *[F.col(f"_s.`{c}`").alias(c) for c in metrics])
     articles = prepared.select("ID", "Ticker", "Date", digest(TEXT).alias("_d"))
     return articles.join(side, "_d", "left").drop("_d"), fresh

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
+from weekpanel.operators.rows import branch_key
 from weekpanel.plans.scoring import TEXT, analysis_text, distinct_texts, lexicon_scores, missing_texts
 from weekpanel.sources.upsert import append_batch, latest_per_key, refresh_partitions
 
@@ -39,9 +40,14 @@ def instant(df: DataFrame, ts: str) -> Column:
 
 
 def stream_dedup_news(articles: DataFrame, delay: str = "14 days") -> DataFrame:
-    """First copy of every (ID, Ticker) inside the delay. Articles without a valid id pass unchanged."""
+    """First copy of every article inside the delay.
+
+    Articles with a valid id are copies by (ID, Ticker), those without one by ticker, time, headline and summary. Both
+    kinds share one stateful step over a digest of their key, so no text is kept as state.
+    """
     timed = articles.withColumn("Date", instant(articles, "Date")).withWatermark("Date", delay)
-    return timed.dropDuplicatesWithinWatermark(["ID", "Ticker"])
+    key = branch_key("ID", "Ticker", [c for c in ("Date", "Headline", "Summary") if c in articles.columns])
+    return timed.withColumn("_key", key).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataStreamWriter:
