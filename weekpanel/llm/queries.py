@@ -16,7 +16,7 @@ from weekpanel.llm.neardup import near_duplicates
 from weekpanel.llm.neighbours import nearest
 from weekpanel.llm.packing import pack
 from weekpanel.llm.quality import classify_quality
-from weekpanel.llm.rules import quality_rules
+from weekpanel.llm.rules import COMMON, quality_rules
 from weekpanel.llm.sharding import shard_by_bytes
 from weekpanel.llm.toxicity import classify_toxicity
 from weekpanel.session import freeze
@@ -92,5 +92,67 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "char_divergence", "word_divergence",
+        F.round("char_divergence", 6).alias("char_divergence"), F.round("word_divergence", 6).alias("word_divergence"),
     )
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+SQL["op7_lsh_forest"] = f"""
+with recursive w as (select doc_id, {_WORDS.format(_LOWER)} as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
+                                          when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w),
+n as (select doc_id, count(*) as n from s group by 1),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b using (sh) where a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from i join n x on a = x.doc_id join n y on b = y.doc_id where 100 * shared >= 75 * (x.n + y.n - shared)),
+r(doc_id, c) as (select doc_id, doc_id from documents union select e.b, r.c from r join e on r.doc_id = e.a),
+m as (select doc_id, min(c) as component_id from r group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id, d.doc_id = m.component_id as kept
+from documents d join m using (doc_id) left join n using (doc_id)"""
+
+
+def _rules_sql() -> str:
+    """The counts, histograms and verdict of the rules, with their default limits."""
+    listed = ", ".join(f"'{k}': [{', '.join(repr(w) for w in v)}]" for k, v in COMMON.items())
+
+    def cut(text: str, chars: str) -> str:
+        for c in chars:
+            text = f"replace({text}, chr({ord(c)}), '')"
+        return text
+
+    blank, symbols = " \t\n\x0b\x0c\r", "#*$%&|<>"
+
+    def distance(p: str, q: str) -> str:
+        part = "(case when {0} > 0 then {0} * log2({0} / (({0} + {1}) / 2)) else 0 end)"
+        x, y = f"({p}[k] / list_sum({p})::double)", f"({q}[k] / list_sum({q})::double)"
+        return (f"case when list_sum({p}) = 0 or list_sum({q}) = 0 then 0 else sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), "
+                f"lambda k: ({part.format(x, y)} + {part.format(y, x)}) / 2)), 0)) end")
+
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t, case when lang in ({', '.join(map(repr, COMMON))}) then lang else 'other' end as ref from documents),
+w as (select *, {_WORDS.format('t')} as ws from d),
+c as (select doc_id, ref, ws, len(ws) as n_words, length({cut('t', blank)}) as word_chars, length(t) as n, length(t) - length({cut('t', symbols)}) as n_symbols,
+        length(t) - length(regexp_replace(t, '\\p{{Lu}}+', '', 'g')) as upper, length(t) - length(regexp_replace(t, '\\p{{Nd}}+', '', 'g')) as digit,
+        length({cut('t', symbols)}) - length(regexp_replace({cut('t', symbols)}, '[\\p{{P}}\\p{{S}}]+', '', 'g')) as marks,
+        list_filter(string_split(t, chr(10)), lambda l: length({cut('l', blank)}) > 0) as ls,
+        coalesce((map {{{listed}}})[ref], []) as words from w),
+g as (select doc_id, i, count(*) over (partition by doc_id, g) as n from (
+        select doc_id, unnest(range(1, len(ws) - 3)) as i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) as g from c where n_words >= 5)),
+p as (select doc_id, count(distinct i + k) as n_repeat_words from g, range(5) v(k) where n > 1 group by 1),
+h as (select doc_id, ref, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, n,
+        [word_chars - upper - digit - marks - n_symbols, upper, digit, marks, n_symbols, n - word_chars] as chars,
+        list_append(hits, n_words - coalesce(list_sum(hits), 0)) as common
+      from (select *, list_transform(words, lambda x: len(list_filter(ws, lambda y: y = x))) as hits from c) left join p using (doc_id)),
+r as (select ref, list(s order by k) as all_chars from (select ref, k, sum(chars[k]) as s from h, range(1, 7) v(k) group by 1, 2) group by 1),
+q as (select ref, list(s order by k) as all_common from (select ref, k, sum(common[k]) as s from h, range(1, 18) v(k) where k <= len(common) group by 1, 2) group by 1),
+v as (select h.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+        case when n >= 200 then {distance('chars', 'all_chars')} else 0 end as char_divergence,
+        case when n_words >= 60 then {distance('common', 'all_common')} else 0 end as word_divergence
+      from h join r using (ref) join q using (ref))
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
+  n_repeat_words::bigint as n_repeat_words, base_failed, not base_failed and char_divergence <= 0.22 and word_divergence <= 0.31 as kept,
+  round(char_divergence, 6) as char_divergence, round(word_divergence, 6) as word_divergence from v"""
+
+
+SQL["op10_divergence_rules"] = _rules_sql()
