@@ -26,8 +26,8 @@ BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 def neighbour_graph(x: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     """The nearest ``degree`` other vectors of each."""
     out, square = [], (x**2).sum(1)
-    for at in range(0, len(x), 1024):
-        d = square[None] - 2 * x[at : at + 1024] @ x.T
+    for at in range(0, len(x), 256):
+        d = square[None] - 2 * x[at : at + 256] @ x.T
         d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
         out.append(np.argpartition(d, degree, axis=1)[:, :degree])
     return np.concatenate(out)
@@ -123,6 +123,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _sample(good: DataFrame) -> np.ndarray:
+    """About ``SAMPLE`` vectors with the smallest hashes of their keys, all repeats of a key or none."""
+    hashed = good.withColumn("h", F.xxhash64("id"))
+    last = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    packed = hashed.where(F.col("h") <= F.lit(last)).orderBy("h", "v").limit(2 * SAMPLE).select(F.transform("v", lambda x: x.cast("float")).alias("v"))
+    return np.array(packed.toArrow()["v"].to_pylist(), dtype=np.float64)
+
+
 def nearest(
     rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", share: float = 0.75, least: int = 3,
 ) -> DataFrame:
@@ -143,8 +151,7 @@ def nearest(
     d, n = sizes["d"], sizes["count"]
     good = good.where(F.size("v") == d)
     parts = int(max(1, min(round(n**0.5 / 4), SAMPLE // 64)))
-    sample = good.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).select("v").collect()
-    router = learn_router(np.array([r["v"] for r in sample]), parts)
+    router = learn_router(_sample(good), parts)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
