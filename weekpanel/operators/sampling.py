@@ -49,6 +49,7 @@ def balance_binary(df: DataFrame, target: str, date: str = "WeekEndingFriday", e
         *by, F.col("_hi.c").alias("_major"), F.col("_hi._size").alias("_all_rows"), F.col("_hi._groups").alias("_groups"),
         F.col("_lo._size").alias("_keep"),
     )
+    rule = rule if per else F.broadcast(rule)  # one row without groups
     major = groups.join(rule, by).filter(F.col(f"`{target}`") == F.col("_major"))
     enough = F.col("_keep") >= F.col("_groups")
     spare = F.when(enough, F.col("_all_rows") - F.col("_groups")).otherwise(F.col("_all_rows"))
@@ -67,7 +68,7 @@ def balance_binary(df: DataFrame, target: str, date: str = "WeekEndingFriday", e
         "_r": F.row_number().over(w.orderBy(*order)) - 1,
         "_n": F.count(F.lit(1)).over(w),
     })
-    marked = numbered.join(rule.select(*by, "_major"), by, "left").join(quotas, [*by, entity, "_year"], "left")
+    marked = numbered.join(rule.select(*by, "_major") if per else F.broadcast(rule.select(*by, "_major")), by, "left").join(quotas, [*by, entity, "_year"], "left")
     # Row r is taken when some i has floor((i + 0.5) * n / q) = r, that is when an i lies in
     # [r*q/n - 0.5, (r+1)*q/n - 0.5).
     first = F.ceil((F.col("_r") * F.col("_q")).cast("double") / F.col("_n") - 0.5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,24 +28,26 @@ SCHEMAS = {
 }
 
 
-def read_table(spark: SparkSession, path: str, schema: str | T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | T.StructType, columns: Sequence[str] | None = None,
+               multi_line: bool = False) -> DataFrame:
     """A catalogued table: Parquet by suffix or folder content, else CSV with a header.
 
-    Values that do not fit the schema become NULL.
+    Values that do not fit the schema become NULL. ``multi_line`` is for tables whose texts hold line breaks; such a file cannot be
+    split and is one task.
     """
     if path.rstrip("/").endswith(".csv"):
-        df = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", multiLine=True, escape='"')
+        df = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", multiLine=multi_line, escape='"')
     else:
         df = spark.read.schema(schema).parquet(path)
     return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
 
 
 def read_entity_files(spark: SparkSession, folder: str, suffix: str, schema: str | T.StructType,
-                      entity: str = "Ticker") -> DataFrame:
-    """One file per entity, ``<entity><suffix>``, as one table. One scan; the name gives the entity."""
+                      entity: str = "Ticker", multi_line: bool = False) -> DataFrame:
+    """One file per entity, ``<entity><suffix>``, as one table. One scan; the name gives the entity. ``multi_line`` as in ``read_table``."""
     glob = f"{folder.rstrip('/')}/*{suffix}"
-    pattern = "^(.*)" + suffix.replace(".", "\\.") + "$"
-    df = spark.read.schema(schema).csv(glob, header=True, mode="PERMISSIVE", multiLine=True, escape='"')
+    pattern = "^(.*)" + re.escape(suffix) + "$"
+    df = spark.read.schema(schema).csv(glob, header=True, mode="PERMISSIVE", multiLine=multi_line, escape='"')
     name = F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)
     return df.select(name.alias(entity), *[F.col(f"`{c}`") for c in df.columns if c != entity])
 
