@@ -28,8 +28,9 @@ GAPS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 COST = 300.0  # of all errors together, against the length of the weights
 LEAST = 0.6  # kernel values below this count as 0
 #: Labelled rows of each class to learn from, at most, and the longest text among them. Scoring has no such limit.
-PER_CLASS, LEARN_CHARS = 2500, 20_000
-KEPT_WORDS = 1_000_000
+PER_CLASS, LEARN_CHARS = 2500, 16_000
+KEPT_WORDS = 600_000
+CHUNK = 10_000  # words compared at once
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 SPELLED = re.compile(r"(?<!\w)(?:\w[^\w\n]{1,2}){3,}\w(?!\w)")  # letters one by one
 EDGE = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}|#$%&*<>@^~=+_-/\\`\u201c\u201d\u2018\u2019\u00ab\u00bb\u2026"
@@ -78,14 +79,17 @@ class Landmarks:
         """Powers of the kernel with every landmark, for the words that come near any."""
         if not found or not self.chosen:
             return {}
+        if len(found) > CHUNK:
+            return {w: k for at in range(0, len(found), CHUNK) for w, k in self.near(found[at : at + CHUNK]).items()}
         owner, code, weight = _triples(found)
         known = self.row[code] >= 0
         share = np.bincount(owner[known], weights=weight[known], minlength=len(found))
         total = np.bincount(owner, weights=weight, minlength=len(found))
         some = [found[i] for i in np.flatnonzero(share > 0.33 * total)]
         out = {}
-        for at in range(0, len(some), 2048):
-            part = some[at : at + 2048]
+        step = max(32, 100_000 // len(self.chosen))  # bounds the matrix of triples by landmarks
+        for at in range(0, len(some), step):
+            part = some[at : at + step]
             owner, code, value = _joined(part)
             keep = self.row[code] >= 0
             owner, rows = owner[keep], value[keep, None] * self.table[self.row[code[keep]]]
@@ -157,11 +161,12 @@ def typical_words(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) ->
     some = sorted((w for w, g in first.items() if g > 1), key=lambda w: (-first[w], w))[:CANDIDATES]
     if not some:
         return []
-    around = Landmarks(some).near(sorted(w for w in toxic.keys() | clean.keys() if toxic[w] + clean[w] >= 2))
+    marks, found = Landmarks(some), sorted(w for w in toxic.keys() | clean.keys() if toxic[w] + clean[w] >= 2)
     a, b = np.zeros(len(some)), np.zeros(len(some))
-    for w, k in around.items():
-        a += k * toxic[w]
-        b += k * clean[w]
+    for at in range(0, len(found), CHUNK):
+        for w, k in marks.near(found[at : at + CHUNK]).items():
+            a += k * toxic[w]
+            b += k * clean[w]
     smooth = dict(zip(some, gain(a, b), strict=True))
     best = sorted(some, key=lambda w: (-smooth[w], w))
     return [w for w in best if smooth[w] > 2][:LANDMARKS] or best[:8]
@@ -172,18 +177,21 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 5) -> SentenceSVM:
     none = SentenceSVM((), np.zeros(0), -1.0, 4.0, 0.0)
     if len(y) == 0 or y.min() == y.max():  # nothing to tell apart
         return none
-    docs = [[{u for x in s.split() for u in units(x)} | {*spelled(s)} for s in sentences(t)] for t in texts]
-    seen = [set().union(*d) for d in docs]
+    one: dict[str, str] = {}  # equal words share their memory
+    docs = [
+        [tuple({one.setdefault(u, u) for x in s.split() for u in units(x)} | {*spelled(s)}) for s in sentences(t)] for t in texts
+    ]
     n = [int((y == c).sum()) for c in (0, 1)]
     clean, toxic = Counter(), Counter()
-    for s, label in zip(seen, y, strict=True):
-        (toxic if label == 1 else clean).update(s)
+    for d, label in zip(docs, y, strict=True):
+        (toxic if label == 1 else clean).update({w for s in d for w in s})
     chosen = typical_words(toxic, clean, n[1], n[0])
     if not chosen:
         return none
     marks = Landmarks(chosen)
-    near = marks.near(sorted(set().union(*seen)))
-    found = [(i, np.sum([near[w] for w in s & near.keys()], axis=0)) for i, d in enumerate(docs) for s in d if s & near.keys()]
+    near = marks.near(sorted(clean.keys() | toxic.keys()))
+    hits = ((i, [near[w] for w in sorted(near.keys() & s)]) for i, d in enumerate(docs) for s in d)
+    found = [(i, np.sum(k, axis=0)) for i, k in hits if k]
     bag = np.array([i for i, _ in found], dtype=np.int64)
     z = np.vstack([np.array([v for _, v in found]).reshape(-1, len(chosen)), np.zeros(len(chosen))])  # the last stands for sentences far from all
     k = np.array([marks.near([w]).get(w, np.zeros(len(chosen))) for w in chosen])
@@ -230,8 +238,7 @@ class Scorer:
         new = every - self.known
         self.known |= new
         found = sorted({u for x in new for u in units(x)} | {w for ws in letters for w in ws if len(w) > 2})
-        for at in range(0, len(found), 50_000):
-            self.hits |= self.marks.near(found[at : at + 50_000])
+        self.hits |= self.marks.near(found)
         self.near |= {x for x in new if any(u in self.hits for u in units(x))}
         margins = np.full(len(lower), self.model.bias)
         for i, own in enumerate(tokens):
