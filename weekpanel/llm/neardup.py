@@ -23,17 +23,21 @@ from weekpanel.session import freeze
 
 TREES, DEPTH, FIRST = 24, 6, 3
 REGION = 768  # members of a region that are compared with each other
-NEAREST, HUBS = 5, 3  # first candidates of a member of a dense region
-MARGIN = 0.125  # below the wanted similarity, three and a half standard errors of the estimate
+NEAREST, HUBS = 1, 1  # first candidates of a member of a dense region
+ERRORS = 3.5  # standard errors that an estimate may lie below the wanted similarity
+FINE = 512  # values of the finer signature, for the members of dense regions
 BLOCK_PAIRS = 3000
 KEPT_WORDS = 400_000
 #: Up to so many ids (8 bytes each) are broadcast to find the texts of candidates; beyond it the texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
 SALTS = 8
+PARTITION_ROWS = 50_000  # narrow rows of a link or a label to a partition
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
+_FINE_A = _rng.integers(0, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_B = _rng.integers(0, 1 << 63, FINE, dtype=np.uint64)
 _PLACES = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -66,14 +70,18 @@ class _Words(dict):
         return h
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """16 bits of the smallest value under each of the TREES * DEPTH hashes."""
-    least = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, dtype=np.uint64)
+def signature(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    """16 bits of the smallest value under each of the hashes, TREES * DEPTH in all if none are given."""
+    least = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 2048):
-        least = np.minimum(least, (shingles[None, at : at + 2048] * _A[:, None] + _B[:, None]).min(axis=1))
+        least = np.minimum(least, (shingles[None, at : at + 2048] * a[:, None] + b[:, None]).min(axis=1))
     return _mixed(least).astype("<u2")
 
 
+def _least_agreement(similarity: float, values: int) -> float:
+    return similarity - ERRORS * (similarity * (1 - similarity) / values) ** 0.5
+
+
 def _set_key(shingles: np.ndarray) -> tuple[int, int]:
     digest = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype="<i8")
     return int(digest[0]), int(digest[1])
@@ -85,18 +93,26 @@ def _sketch(width: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
-                n, keys, signatures = [], [], []
+                n, keys, signatures, short = [], [], [], []
                 for t in b.column(1).cast(pa.large_binary()).to_pylist():
                     s = shingles_of(t)
                     n.append(len(s))
                     keys.append(_set_key(s) if len(s) else (None, None))
-                    signatures.append(signature(s).tobytes() if len(s) else None)
+                    values = signature(s) if len(s) else None
+                    signatures.append(values.tobytes() if len(s) else None)
+                    short.append(values.astype(np.uint8).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(n, pa.int64()), pa.array([k for k, _ in keys], pa.int64()),
-                     pa.array([k for _, k in keys], pa.int64()), pa.array(signatures, pa.binary())], ["id", "n", "k1", "k2", "sig"])
+                     pa.array([k for _, k in keys], pa.int64()), pa.array(signatures, pa.binary()), pa.array(short, pa.binary())],
+                    ["id", "n", "k1", "k2", "sig", "short"])
     return sketch
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """As many partitions as ``rows`` narrow rows fill, so small tables do not spread over many tiny files."""
+    return df.coalesce(max(1, -(-rows // PARTITION_ROWS)))
+
+
 def _regions(classes: DataFrame) -> DataFrame:
     """(region, cid): the members of every region, ``REGION`` at most, for all trees; a class stands in several regions."""
     def prefix(depth: int) -> Column:
@@ -105,10 +121,10 @@ def _regions(classes: DataFrame) -> DataFrame:
     rows = classes.select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     found, current, depth = [], rows, FIRST
     while True:
-        tagged = current.withColumn("region", prefix(depth))
+        tagged = current.select("cid", "tree", prefix(depth).alias("region"))
         sizes = freeze(tagged.groupBy("region").count().where("count > 1"))
-        largest = sizes.agg(F.max("count")).first()[0] or 0
-        members = tagged.join(sizes, "region")
+        largest, shared = (x or 0 for x in sizes.agg(F.max("count"), F.sum("count")).first())
+        members = _few(tagged.join(sizes, "region"), shared)
         if largest <= REGION:
             found.append(members.select("region", "cid"))
             break
@@ -119,7 +135,8 @@ def _regions(classes: DataFrame) -> DataFrame:
         found.append(over.select(F.xxhash64("region", part).alias("region"), "cid"))
         if depth == DEPTH:
             break
-        current, depth = over.drop("region", "count"), depth + 1
+        left = members.where(F.col("count") > REGION).count()
+        current, depth = _few(_few(over.select("cid", "tree"), left).join(classes, "cid"), left), depth + 1
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -141,8 +158,10 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
-def _candidates(least: float, similarity: float, again: bool):
+def _candidates(similarity: float, again: bool):
     """Pairs of one region whose signatures agree; ``again``: all that join different components, else the first ones."""
+    least, least_fine = (_least_agreement(similarity, v) for v in (TREES * DEPTH, FINE))
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], []]
         size = 0
@@ -150,7 +169,7 @@ def _candidates(least: float, similarity: float, again: bool):
             m = t.num_rows
             if m < 2:
                 continue
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype="<u2").reshape(m, -1)
+            sig = np.frombuffer(b"".join(t["short"].to_pylist()), dtype=np.uint8).reshape(m, -1)
             n, cid = t["n"].to_numpy(), t["cid"].to_numpy()
             agree = np.empty((m, m), dtype=np.float32)
             for at in range(0, m, 64):
@@ -171,6 +190,13 @@ def _candidates(least: float, similarity: float, again: bool):
                 chosen[np.repeat(np.arange(m), top.shape[1]), top.ravel()] = True
                 fit &= chosen | chosen.T
             i, j = np.nonzero(np.triu(fit, 1))
+            if again and len(i):
+                fine = np.frombuffer(b"".join(t["fine"].to_pylist()), dtype=np.uint8).reshape(m, -1)
+                near = np.concatenate([(fine[i[k : k + 8192]] == fine[j[k : k + 8192]]).mean(axis=1) for k in range(0, len(i), 8192)]) >= least_fine
+                i, j, here = i[near], j[near], t["region"][0].as_py()
+                own = {k: frozenset(t["regions"][k].as_py()) for k in {*i.tolist(), *j.tolist()}}
+                once = np.array([min(own[x] & own[y]) == here for x, y in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
+                i, j = i[once], j[once]  # a pair that stands in several regions comes from the first
             if len(i):
                 out[0].append(np.minimum(cid[i], cid[j]))
                 out[1].append(np.maximum(cid[i], cid[j]))
@@ -185,56 +211,70 @@ def _candidates(least: float, similarity: float, again: bool):
 
 
 def _in_regions(members: DataFrame, classes: DataFrame, function) -> DataFrame:
-    rows = members.join(classes, "cid")
+    rows = members.join(classes, "cid")  # a member of a region meets its signature, then the region its members
     parts = max(2, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(parts, "region").sortWithinPartitions("region", "cid").mapInArrow(function, "a long, b long, dense long")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose full sets reach the similarity.
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fine = [signature(np.frombuffer(s, dtype=np.uint64), _FINE_A, _FINE_B).astype(np.uint8).tobytes() for s in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fine, pa.binary())], ["cid", "fine"])
 
-    Pairs of one candidate component meet in one block, which gets every set once; components and single members with more than
-    ``BLOCK_PAIRS`` pairs are spread over several blocks.
-    """
-    grouped = pairs.join(components(pairs).withColumnRenamed("cid", "a"), "a")
-    large = freeze(grouped.groupBy("label").count().where(F.col("count") > BLOCK_PAIRS).withColumnRenamed("count", "n_label"))
-    heavy = freeze(pairs.groupBy("a").count().where(F.col("count") > BLOCK_PAIRS).withColumnRenamed("count", "n_a"))
 
-    def spread(key: str, n: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.ceil(F.coalesce(n, F.lit(1)) / BLOCK_PAIRS))
+def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links enough to join all pairs whose full sets reach the similarity: of each block, its members with their smallest one.
 
-    block = F.xxhash64("label", spread("a", "n_label"), spread("b", "n_a"))
-    blocked = freeze(grouped.join(large, "label", "left").join(heavy, "a", "left").select(block.alias("block"), "a", "b"))
-    needed = blocked.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets, "cid")
+    Pairs meet in blocks by their smaller member, and a block gets every set it needs once. A member with more than
+    ``BLOCK_PAIRS`` pairs is spread over several blocks.
+    """
+    n = pairs.count()
+    blocks = max(1, -(-n // BLOCK_PAIRS))
+    pairs = _few(pairs, n)
+    heavy = pairs.groupBy("a").count().where(F.col("count") > BLOCK_PAIRS).withColumnRenamed("count", "n_a")
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("n_a", F.lit(1)) / BLOCK_PAIRS))
+    block = F.pmod(F.xxhash64("a", part), F.lit(blocks))
+    blocked = freeze(_few(pairs.join(heavy, "a", "left").select(block.alias("block"), "a", "b"), n))
+    needed = _few(blocked.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("cid")).distinct(), 2 * n).join(sets, "cid")
     hundredths = round(100 * similarity)
 
     def compare(asked: pa.Table, found: pa.Table) -> pa.Table:
         own = {c: np.frombuffer(s, dtype=np.uint64) for c, s in zip(found["cid"].to_pylist(), found["set"].to_pylist(), strict=True)}
-        keep = []
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]]
+            return c
+
         for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist(), strict=True):
+            if find(a) == find(b):  # joined through others already
+                continue
             x, y = own[a], own[b]
             both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
             if 100 * both >= hundredths * (len(x) + len(y) - both):
-                keep.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in keep], pa.int64()), "b": pa.array([b for _, b in keep], pa.int64())})
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+        links = [(find(c), c) for c in root if find(c) != c]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return blocked.groupBy("block").cogroup(needed.groupBy("at")).applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(cid, label) of every node with an edge: the smallest node it reaches. Labels spread along edges and jump to labels of labels."""
-    both = freeze(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = freeze(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cid"), F.least("a", "m").alias("label")))
+    n = 2 * edges.count()
+    both = freeze(_few(_few(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), n).distinct(), n))
+    labels = freeze(_few(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cid"), F.least("a", "m").alias("label")), n))
     while True:
-        near = both.join(labels.withColumnRenamed("cid", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        spread = labels.join(near, labels["cid"] == near["a"]).select("cid", F.least("label", "m").alias("new"), "label")
-        jump = freeze(spread)
-        roots = jump.select(F.col("cid").alias("root"), F.col("new").alias("further"))
-        jumped = jump.join(roots, jump["new"] == roots["root"]).select("cid", F.least("new", "further").alias("new"), "label")
-        after = freeze(jumped)
-        if after.where("new <> label").isEmpty():
-            return after.select("cid", "label")
-        labels = after.select("cid", F.col("new").alias("label"))
+        roots = labels.select(F.col("cid").alias("root"), F.col("label").alias("further"))
+        told = both.join(labels.withColumnRenamed("cid", "b"), "b").select(F.col("a").alias("cid"), "label", F.lit(None).cast("long").alias("old"))
+        jumped = labels.join(roots, labels["label"] == roots["root"]).select("cid", F.col("further").alias("label"), F.col("label").alias("old"))
+        heard = _few(told.unionByName(jumped), n).groupBy("cid").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        after = freeze(_few(heard, n))
+        labels = after.select("cid", "label")
+        if after.where("label <> old").isEmpty():
+            return labels
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, order: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,14 +286,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, o
     component and are kept. An empty table gives no rows. Other columns are left out.
     """
     source = docs.select(F.col(f"`{order}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = freeze(source.mapInArrow(_sketch(width), "id long, n long, k1 long, k2 long, sig binary"))
+    rows = freeze(source.mapInArrow(_sketch(width), "id long, n long, k1 long, k2 long, sig binary, short binary"))
     some = rows.where("n > 0 and id is not null")
-    classes = freeze(some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = freeze(some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("short").alias("short"))
                      .withColumnRenamed("k1", "cid").drop("k2"))
     members = freeze(_regions(classes.select("cid", "sig")))
-    shown, least = classes.select("cid", "n", "sig"), similarity - MARGIN
-    first = freeze(_in_regions(members, shown, _candidates(least, similarity, again=False)))
-    pairs = freeze(first.select("a", "b").distinct())
+    shown = classes.select("cid", "n", "short")
+    first = freeze(_in_regions(members, shown, _candidates(similarity, again=False)))
+    shown_pairs = first.count()
+    pairs = freeze(_few(_few(first.select("a", "b"), shown_pairs).distinct(), shown_pairs))
 
     # Every text that a candidate pair of a dense region may need later has a pair now, so the sets are made once.
     wanted = freeze(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid"))
@@ -275,13 +316,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, o
     labels = components(links)
     dense = first.where("dense <> 0").select(F.col("dense").alias("region")).distinct()
     if not dense.isEmpty():
-        labelled = shown.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        inner = members.join(dense, "region", "left_semi")
-        more = _in_regions(inner, labelled, _candidates(least, similarity, again=True)).select("a", "b").distinct()
+        inner = freeze(members.join(dense, "region", "left_semi"))
+        finer = sets.join(inner.select("cid").distinct(), "cid", "left_semi").mapInArrow(_finer, "cid long, fine binary")
+        places = inner.groupBy("cid").agg(F.collect_set("region").alias("regions"))  # a few for each tree at most
+        labelled = shown.join(finer, "cid").join(places, "cid").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        more = _in_regions(inner, labelled, _candidates(similarity, again=True)).select("a", "b")
         more = freeze(more.join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = freeze(links.unionByName(_confirm(more, sets, similarity)))
-            labels = components(links)
+        new = freeze(_confirm(more, sets, similarity))
+        if not new.isEmpty():  # links between components: only their labels are joined
+            of = labels.select(F.col("cid").alias("at"), F.col("label").alias("to"))
+            for side in ("a", "b"):
+                new = new.join(of, new[side] == of["at"], "left").withColumn(side, F.coalesce("to", side)).drop("at", "to")
+            joined = components(freeze(new.where("a <> b"))).select(F.col("cid").alias("label"), F.col("label").alias("further"))
+            alone = joined.select(F.col("label").alias("cid"), "label").join(labels, "cid", "left_anti")
+            labels = freeze(labels.unionByName(alone).join(joined, "label", "left").select("cid", F.coalesce("further", "label").alias("label")))
 
     found = classes.select("cid", "rep").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = found.groupBy("label").agg(F.min("rep").alias("component_id"))
