@@ -149,7 +149,7 @@ def page_counts(page: str | None) -> Counter:
 def learn_weights(pages: DataFrame, page: str = "html", order: str = "page_id") -> dict[str, float]:
     """Log-odds of words by place and of tags by name, from pages that mark their article.
 
-    The pages are those with the smallest hashes of their key, ``LEARN_PAGES`` at most; one number per kind and tag name comes to the driver.
+    The pages are those with the ``LEARN_PAGES`` smallest hashes of their key; one number per kind and tag name comes to the driver.
     """
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,7 +162,8 @@ def learn_weights(pages: DataFrame, page: str = "html", order: str = "page_id")
     picked = pages.select(F.col(f"`{page}`").alias("page"), F.xxhash64(F.col(f"`{order}`")).alias("h")).where(
         F.col("page").rlike("(?i)<(article|main)[\\s>]")
     )
-    some = picked.orderBy("h", "page").limit(LEARN_PAGES).select("page").mapInArrow(counted, "what string, content boolean, n long")
+    last = picked.select("h").orderBy("h").limit(LEARN_PAGES).agg(F.max("h")).first()[0]
+    some = picked.where(F.col("h") <= F.lit(last).cast("long")).select("page").mapInArrow(counted, "what string, content boolean, n long")
     inner, outer = Counter(), Counter()
     for r in some.groupBy("what", "content").agg(F.sum("n").alias("n")).collect():
         (inner if r["content"] else outer)[r["what"]] += r["n"]
