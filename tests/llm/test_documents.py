@@ -346,6 +346,20 @@ def test_near_duplicates_against_brute_force(spark, odd, none, monkeypatch):
     assert neardup.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("part", [50, 2048])
+def test_near_duplicates_around_one_passage(spark, monkeypatch, part):
+    """Pairs that are each other's only near copy, in regions too large at the last depth since all texts share a long passage."""
+    monkeypatch.setattr(neardup, "REGION", 4)
+    monkeypatch.setattr(neardup, "PART", part)
+    passage, rows = [f"p{k}" for k in range(400)], []
+    for i in range(300):  # texts 0 and 1, 2 and 3 to 78 and 79 are alike to 0.77, all others to 0.72
+        shared = [f"s{i // 2 if i < 80 else i + 1000}_{k}" for k in range(16)]
+        rows.append((i, " ".join([*passage, *shared, *[f"o{i}_{k}" for k in range(60)]])))
+    rows += [(500 + i, " ".join([*passage, *[f"g{k}" for k in range(76)], f"c{i}"])) for i in range(60)]  # and one group of copies
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 if i < 80 else 500 if i >= 500 else i for i, _ in rows}
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 102), (101, 102)]
     got = dict(tuple(r) for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect())

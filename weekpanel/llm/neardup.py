@@ -5,7 +5,8 @@ label; texts that share the first ``FIRST`` values of it form a region. A region
 parts are looked at as well. Inside a region, signatures are compared and pairs that may reach the similarity become candidates: all of them where they are
 few; in a dense region at first only those of the longest agreement and with the members that most others agree with. Candidates are confirmed on
 full sets. When the confirmed links are joined to components, dense regions are gone through again for every candidate between different
-components, so no pair that a region shows is passed over.
+components, so no pair that a region shows is passed over. Regions that are too large even at the last depth follow: where their members
+belong to several components, all parts of such a region are compared with each other, part against part.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from weekpanel.session import freeze
 
 TREES, DEPTH, FIRST = 24, 6, 3
 REGION = 768  # members of a region that are compared with each other
+PART = 2048  # members of a part of a region that is too large at the last depth
 NEAREST, HUBS = 1, 1  # first candidates of a member of a dense region
 ERRORS = 3.5  # standard errors that an estimate may lie below the wanted similarity
 FINE = 512  # values of the finer signature, for the members of dense regions
@@ -113,13 +115,16 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // PARTITION_ROWS)))
 
 
-def _regions(classes: DataFrame) -> DataFrame:
-    """(region, cid): the members of every region, ``REGION`` at most, for all trees; a class stands in several regions."""
+def _regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(region, cid): the members of every region, ``REGION`` at most, for all trees; a class stands in several regions.
+
+    And (region, tree, cid) of the regions that are larger at the last depth, if any, of which the first table holds random parts only.
+    """
     def prefix(depth: int) -> Column:
         return F.xxhash64("tree", F.substring(F.col("sig"), F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * depth)))
 
     rows = classes.select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    found, current, depth = [], rows, FIRST
+    found, current, depth, large = [], rows, FIRST, None
     while True:
         tagged = current.select("cid", "tree", prefix(depth).alias("region"))
         sizes = freeze(tagged.groupBy("region").count().where("count > 1"))
@@ -134,13 +139,42 @@ def _regions(classes: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64("cid", "tree"), F.ceil(F.col("count") / (REGION / 2)))
         found.append(over.select(F.xxhash64("region", part).alias("region"), "cid"))
         if depth == DEPTH:
+            large = over.select("region", "tree", "cid")
             break
         left = members.where(F.col("count") > REGION).count()
         current, depth = _few(_few(over.select("cid", "tree"), left).join(classes, "cid"), left), depth + 1
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return out, large
+
+
+def _blocks(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(region, side, tree, cid, label): blocks of two parts of a region, under the name of a region, that together hold all pairs of
+    members of different components.
+
+    Members of a component that fills a part stand in parts of their own, which are not compared with each other. ``side`` is 0 and 1 for the
+    parts of a block, 2 where a part meets itself.
+    """
+    rows = large.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    n = large.count()
+    rows = freeze(_few(rows, n))
+    several = freeze(rows.groupBy("region").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("region"))
+    rows = rows.join(several, "region", "left_semi")
+    owned = freeze(_few(rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n")), n))
+    big = freeze(owned.where(F.col("n") > PART))
+    rest = freeze(owned.where(F.col("n") <= PART).groupBy("region").agg(F.sum("n").alias("rest")))
+    dealt = rows.join(big, ["region", "label"], "left").join(rest, "region", "left").withColumn("pure", F.when(F.col("n").isNotNull(), F.col("label")))
+    alone = F.xxhash64("region", "label", F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / PART)))
+    part = F.when(F.col("pure").isNotNull(), alone).otherwise(F.xxhash64("region", F.pmod(F.xxhash64("label"), F.ceil(F.col("rest") / PART))))
+    dealt = freeze(_few(dealt.select("region", "tree", "cid", "label", "pure", part.alias("part")), n))
+    parts = freeze(_few(dealt.select("region", "part", "pure").distinct(), n))
+    others = parts.select("region", F.col("part").alias("other"), F.col("pure").alias("other_pure"))
+    pairs = parts.join(others, "region").where("part <= other and not coalesce(pure = other_pure, false)")
+    block = F.xxhash64("region", "part", "other").alias("block")
+    sides = pairs.select(block, "part", F.when(F.col("part") == F.col("other"), 2).otherwise(0).alias("side")).unionByName(
+        pairs.where("part <> other").select(block, F.col("other").alias("part"), F.lit(1).alias("side")))
+    return dealt.join(sides, "part").select(F.col("block").alias("region"), "side", "tree", "cid", "label")
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -210,6 +244,43 @@ def _candidates(similarity: float, again: bool):
     return pairs
 
 
+def _across(similarity: float):
+    """Pairs of different components from a block of parts whose signatures agree; a pair of several regions comes from its first tree."""
+    least, least_fine = (_least_agreement(similarity, v) for v in (TREES * DEPTH, FINE))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _sorted_groups(batches):
+            m = t.num_rows
+            sig, fine = (np.frombuffer(b"".join(t[c].to_pylist()), dtype=np.uint8).reshape(m, -1) for c in ("short", "fine"))
+            n, cid, label, side, tree = (t[c].to_numpy() for c in ("n", "cid", "label", "side", "tree"))
+            homes = np.zeros((m, TREES), dtype=np.int64)
+            for k, own in enumerate(t["homes"].to_pylist()):
+                for home in own:
+                    homes[k, home["tree"]] = home["region"]
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            values = np.ascontiguousarray(sig[right].T)
+            for at in range(0, len(left), 64):
+                rows = left[at : at + 64]
+                agree = np.zeros((len(rows), len(right)), dtype=np.uint8)  # TREES * DEPTH < 256
+                for k, v in enumerate(values):
+                    agree += sig[rows, k, None] == v[None]
+                small, big = np.minimum(n[rows, None], n[None, right]), np.maximum(n[rows, None], n[None, right])
+                i, j = np.nonzero((agree >= least * TREES * DEPTH) & (small >= similarity * big) & (label[rows, None] != label[None, right]))
+                i, j = rows[i], right[j]
+                if side[0] == 2:
+                    i, j = i[i < j], j[i < j]
+                for k in range(0, len(i), 8192):
+                    x, y = i[k : k + 8192], j[k : k + 8192]
+                    near = (fine[x] == fine[y]).mean(axis=1) >= least_fine
+                    x, y = x[near], y[near]
+                    first = ((homes[x] == homes[y]) & (homes[x] != 0)).argmax(axis=1) == tree[0]
+                    x, y = cid[x[first]], cid[y[first]]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.zeros(len(x), dtype=np.int64))], ["a", "b", "dense"])
+    return pairs
+
+
 def _in_regions(members: DataFrame, classes: DataFrame, function) -> DataFrame:
     rows = members.join(classes, "cid")  # a member of a region meets its signature, then the region its members
     parts = max(2, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -277,6 +348,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _joined(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Labels after new links between components: only the labels are joined."""
+    if new.isEmpty():
+        return labels
+    of = labels.select(F.col("cid").alias("at"), F.col("label").alias("to"))
+    for side in ("a", "b"):
+        new = new.join(of, new[side] == of["at"], "left").withColumn(side, F.coalesce("to", side)).drop("at", "to")
+    joined = components(freeze(new.where("a <> b"))).select(F.col("cid").alias("label"), F.col("label").alias("further"))
+    alone = joined.select(F.col("label").alias("cid"), "label").join(labels, "cid", "left_anti")
+    return freeze(labels.unionByName(alone).join(joined, "label", "left").select("cid", F.coalesce("further", "label").alias("label")))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, order: str = "doc_id", text: str = "text") -> DataFrame:
     """(``order``, n_shingles, component_id, kept) of every row.
 
@@ -290,14 +373,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, o
     some = rows.where("n > 0 and id is not null")
     classes = freeze(some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("short").alias("short"))
                      .withColumnRenamed("k1", "cid").drop("k2"))
-    members = freeze(_regions(classes.select("cid", "sig")))
+    members, large = _regions(classes.select("cid", "sig"))
+    members = freeze(members)
     shown = classes.select("cid", "n", "short")
     first = freeze(_in_regions(members, shown, _candidates(similarity, again=False)))
     shown_pairs = first.count()
     pairs = freeze(_few(_few(first.select("a", "b"), shown_pairs).distinct(), shown_pairs))
 
     # Every text that a candidate pair of a dense region may need later has a pair now, so the sets are made once.
-    wanted = freeze(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid"))
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    paired = paired if large is None else paired.unionByName(large.select("cid"))
+    wanted = freeze(paired.distinct().join(classes.select("cid", "rep"), "cid"))
     ids = wanted.select(F.col("rep").alias("id")).distinct()
     texts = source.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "id")
 
@@ -322,14 +408,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, o
         labelled = shown.join(finer, "cid").join(places, "cid").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         more = _in_regions(inner, labelled, _candidates(similarity, again=True)).select("a", "b")
         more = freeze(more.join(pairs, ["a", "b"], "left_anti"))
-        new = freeze(_confirm(more, sets, similarity))
-        if not new.isEmpty():  # links between components: only their labels are joined
-            of = labels.select(F.col("cid").alias("at"), F.col("label").alias("to"))
-            for side in ("a", "b"):
-                new = new.join(of, new[side] == of["at"], "left").withColumn(side, F.coalesce("to", side)).drop("at", "to")
-            joined = components(freeze(new.where("a <> b"))).select(F.col("cid").alias("label"), F.col("label").alias("further"))
-            alone = joined.select(F.col("label").alias("cid"), "label").join(labels, "cid", "left_anti")
-            labels = freeze(labels.unionByName(alone).join(joined, "label", "left").select("cid", F.coalesce("further", "label").alias("label")))
+        labels = _joined(labels, freeze(_confirm(more, sets, similarity)))
+    if large is not None:
+        blocks = freeze(_blocks(large, labels))
+        if not blocks.isEmpty():
+            of = blocks.select("cid").distinct()
+            finer = sets.join(of, "cid", "left_semi").mapInArrow(_finer, "cid long, fine binary")
+            homes = large.groupBy("cid").agg(F.collect_list(F.struct("tree", "region")).alias("homes"))  # one for each tree at most
+            more = _in_regions(blocks, shown.join(finer, "cid").join(homes, "cid"), _across(similarity)).select("a", "b")
+            more = freeze(more.join(pairs, ["a", "b"], "left_anti"))
+            labels = _joined(labels, freeze(_confirm(more, sets, similarity)))
 
     found = classes.select("cid", "rep").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = found.groupBy("label").agg(F.min("rep").alias("component_id"))
