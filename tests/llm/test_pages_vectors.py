@@ -53,6 +53,19 @@ def test_run_is_the_best_of_all():
     assert abs(best - top) < 1e-9 and extraction.main_text(page, weights)
 
 
+def test_teaser_articles_are_not_the_main_text():
+    """Articles in a sidebar, menu or footer, beside and within the main article, are left out with what they stand in."""
+    card = "<article><p>five or more words of a teaser</p></article>"
+    weights = {"text:body": 4.0, "text:outside": -1.0, "text:sidebar": -1.0, "tag:": -0.1}
+    for tag in ("aside", "nav", "footer", "div class=sidebar"):
+        cards = f"<{tag}>{card * 3}</{tag.split()[0]}>"
+        for page in (f"<article><p>The one text here</p></article>{cards}", f"<article><p>The one text</p>{cards}<p>here</p></article><p>no</p>"):
+            assert " ".join(extraction.main_text(page, weights).split()) == "The one text here"
+    two = "<article><p>The first</p></article><article><p>and the second</p></article>"
+    assert extraction.main_text(two, weights) == "The first\nand the second"
+    assert extraction.main_text(f"<nav><a>Home</a>{two}", weights) == "The first\nand the second"  # a menu that is never closed
+
+
 def test_whole_table_against_its_articles(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     rows = extraction.extract(pages.withColumn("copy", F.col("html"))).collect()

@@ -47,6 +47,8 @@ ROLES = {
     "alert": "notice", "dialog": "notice", "alertdialog": "notice", "form": "form", "menu": "menu", "menubar": "menu",
 }
 KIND_OF = {name: kind for kind, names in NAMES.items() for name in names.split()}
+#: An article within these stays what they are: it is a teaser, a comment or the like.
+KEEPING = {"comments", "sidebar", "menu", "footer"}
 BODY_WORD, TAG_COST = 1.0, 0.05  # without labelled pages
 
 TOKEN = re.compile(
@@ -82,6 +84,7 @@ def scan(page: str | None) -> Iterator[tuple[str, str, bool]]:
     Yields (what, value, inside): ``what`` is "text:<kind>" or "tag:<name>", ``inside`` tells whether an article or main element is open.
     """
     page, at, skip_to, kind, kind_tag, depth, open_main = page or "", 0, None, None, "", 0, Counter()
+    closes, within = {}, Counter()  # where a tag is closed for the last time; articles that are open within an element of some kind
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -108,19 +111,29 @@ def scan(page: str | None) -> Iterator[tuple[str, str, bool]]:
                     if closing:
                         yield f"tag:{tag}", "", bool(open_main)
                         continue
-            elif not closing and tag in ("article", "main") and kind != "comments" or kind_tag == "p" and tag in BLOCKS and tag != "br":
+            elif not closing and tag in ("article", "main") and kind != "comments":
+                if kind_tag not in closes:
+                    closes[kind_tag] = max((c.start() for c in re.finditer(rf"</{re.escape(kind_tag)}\b", page, re.I)), default=-1)
+                if tag == "main" or kind_tag == "p" or kind not in KEEPING or closes[kind_tag] < at:  # an element that is never closed holds no article
+                    kind = None
+            elif kind_tag == "p" and tag in BLOCKS and tag != "br":
                 kind = None
         if tag in ("article", "main"):
             if closing:
                 yield f"tag:{tag}", "", bool(open_main)
-                open_main = +(open_main - Counter([tag]))
+                if kind is not None and within[tag]:
+                    within[tag] -= 1
+                else:
+                    open_main = +(open_main - Counter([tag]))
                 continue
             if kind is None:
                 open_main[tag] += 1
+            else:
+                within[tag] += 1
         elif kind is None and not closing and tag not in VOID:
             kind = _kind(tag, attributes, bool(open_main))
             if kind is not None:
-                kind_tag, depth = tag, 1
+                kind_tag, depth, within = tag, 1, Counter()
         yield f"tag:{tag}", kind or "", bool(open_main)
     if at < len(page):
         yield f"text:{kind or 'body'}", page[at:], bool(open_main)
