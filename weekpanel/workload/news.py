@@ -180,6 +180,23 @@ def _(t):
     return fixed.select("ID", F.md5(F.col("Summary").cast("binary")).alias("digest"), (F.col("Summary") == collapse("Headline")).cast("int").alias("same"))
 
 
+@query("summary_classes_whole", "P8 H2 H6 H7 H8 H9 H10 L1", "ID:s IssueType:s SummaryChars:l SummaryWords:l")
+def _(t):
+    return classify_summary(t.fixture("documents"))
+
+
+@query("summary_issue_counts_whole", "P9 H2 H9 H22 F6", "position:l IssueType:s n:l pct:d")
+def _(t):
+    return summary_quality_report(classify_summary(t.fixture("documents")))
+
+
+@query("impute_summary_whole", "P8 H2 H9", "ID:s digest:s same:l")
+def _(t):
+    fixed = impute_summary(t.fixture("documents"))
+    same = (F.col("Summary") == normalize_text("Headline")).cast("int")
+    return fixed.select("ID", F.md5(F.col("Summary").cast("binary")).alias("digest"), same.alias("same"))
+
+
 @query("summary_issues_with_similarity", "P8 P9 H2 H9 L1", "IssueType:s n:l pct:d")
 def _(t):
     return top_issues(summary_quality_report(classify_summary(t.fixture("documents"))))
