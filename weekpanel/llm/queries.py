@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weekpanel.llm.common import read, remainder, words
 from weekpanel.llm.extraction import extract
 from weekpanel.llm.katz import score_texts
+from weekpanel.llm.lexical import search
 from weekpanel.llm.mixing import mix
 from weekpanel.llm.neardup import near_duplicates
 from weekpanel.llm.neighbours import nearest
@@ -18,6 +19,7 @@ from weekpanel.llm.packing import pack
 from weekpanel.llm.quality import classify_quality
 from weekpanel.llm.rules import COMMON, quality_rules
 from weekpanel.llm.sharding import shard_by_bytes
+from weekpanel.llm.skyband import divergence_audit
 from weekpanel.llm.toxicity import classify_toxicity
 from weekpanel.session import freeze
 
@@ -96,6 +98,16 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_skyband_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+@query
+def op13_bloom_slice_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -156,3 +168,35 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 
 
 SQL["op10_divergence_rules"] = _rules_sql()
+
+
+SQL["op12_skyband_audit"] = f"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+             regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+t as (select r, lang, source, unnest(ts) as term from d),
+k as (select lang, term, count(*) as lang_n from t group by 1, 2 having count(distinct r) >= 10),
+v as (select lang, count(*) as size, sum(lang_n) as lang_total from k group by 1),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from t join k using (lang, term) group by 1, 2, 3),
+x as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.lang_n, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as total, size, lang_total
+      from g join k using (lang) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (select lang, source, term, n, 1 + (1000000000::hugeint * (n + 2)) // (total + 2 * size) as p,
+        1 + (1000000000::hugeint * (lang_n + 2)) // (lang_total + 2 * size) as q from x),
+w as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+u as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(w.value, 0) as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join w on w.lang = a.lang and w.source = a.source and w.item = b.source
+      union all select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from p where n > 0 and p > q),
+z as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from u)
+select lang, source, part, item, value::bigint as value, rank::int as rank from z where part = 'pair' or rank <= 10"""
+
+SQL["op13_bloom_slice_search"] = f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+n as (select count(*) as n, sum(len(ts)) as l from d where len(ts) > 0),
+t as (select r, term, count(*) as tf from (select r, unnest(ts) as term from d) group by 1, 2),
+q as (select distinct item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+w as (select term, floor(1000 * ln((2 * n + 2)::double / (2 * df + 1)))::bigint as w from (select term, count(*) as df from t group by 1), n),
+s as (select q.item_id, d.doc_id, d.r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ts) * n) // l)))) as score
+      from q join w using (term) join t using (term) join d on d.r = t.r, n group by 1, 2, 3),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score::bigint as score from k where rank <= 50"""
