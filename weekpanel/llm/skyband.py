@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from weekpanel.operators.joins import broadcast_if_small
 from weekpanel.session import freeze
 
-HELD_TERMS = 200_000  # counted terms that a task holds before it passes them on
+HELD_TERMS = 500_000  # counted terms that a task holds before it passes them on
 BLOCK = 128  # sources of a language that are compared at once
 SLICE_TERMS = 4096  # terms of a language whose pair sums are made together
 MERGES = 64  # partial skybands of a group are merged in so many parts first
@@ -35,26 +35,27 @@ def _counted(batches: Iterator[pa.RecordBatch], held_terms: int = HELD_TERMS) ->
     held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
     size = 0
 
-    def rows() -> pa.RecordBatch:
-        flat = [(lang, source, t, n, docs[t]) for (lang, source), (occurs, docs) in held.items() for t, n in occurs.items()]
-        flat += [(lang, source, None, 0, 0) for lang, source in held]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[c] for r in flat], t) for c, t in enumerate((pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()))],
-            ["lang", "source", "term", "n", "docs"])
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (occurs, docs) in held.items():
+            found = [None, *occurs]
+            yield pa.RecordBatch.from_arrays([
+                pa.repeat(pa.scalar(lang, pa.string()), len(found)), pa.repeat(pa.scalar(source, pa.string()), len(found)), pa.array(found, pa.binary()),
+                pa.array([0, *occurs.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, occurs)], pa.int64()),
+            ], ["lang", "source", "term", "n", "docs"])
 
     for b in batches:
         for lang, source, text in zip(*(b.column(c).to_pylist() for c in range(2)), b.column(2).cast(pa.large_binary()).to_pylist(), strict=True):
             occurs, docs = held[lang, source]
             size -= len(occurs)
-            found = Counter(text.translate(_TERM).split())
+            found = text.translate(_TERM).split()
             occurs.update(found)
-            docs.update(found.keys())
+            docs.update(set(found))
             size += len(occurs)
             if size > held_terms:
-                yield rows()
+                yield from rows()
                 held.clear()
                 size = 0
-    yield rows()
+    yield from rows()
 
 
 def skyband(high: np.ndarray, low: np.ndarray, terms: list[bytes], k: int) -> list[int]:
