@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekpanel.llm.common import WordHashes
 from weekpanel.session import shared_dir
 from weekpanel.sources.upsert import fresh_path
 
@@ -38,12 +39,6 @@ def terms(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TERM).split()
 
 
-class _Hashes(dict):
-    def __missing__(self, term: bytes) -> int:
-        self[term] = h = xxhash.xxh64_intdigest(term)
-        return h
-
-
 def _bits(hashes: np.ndarray, level: int, m: int) -> np.ndarray:
     """The bits that entries set, HASHES for each."""
     h = (hashes ^ np.uint64(level * 0x9E3779B1)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -75,11 +70,11 @@ def _index(vocabulary: dict[bytes, int]):
         ], ["ids", "sizes", "m", "slices", "texts", "n_docs", "n_terms", "found"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of, open_, held = _Hashes(), defaultdict(list), Counter()
+        hash_of, open_, held = WordHashes(), defaultdict(list), Counter()
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 if len(hash_of) > KEPT_WORDS:
-                    hash_of = _Hashes()
+                    hash_of = WordHashes()
                 counts = Counter(terms(text))
                 if not counts:  # no term, no score
                     continue

@@ -17,6 +17,7 @@ from weekpanel.llm.neardup import near_duplicates
 from weekpanel.llm.neighbours import nearest
 from weekpanel.llm.packing import pack
 from weekpanel.llm.quality import classify_quality
+from weekpanel.llm.repeats import remove_repeats
 from weekpanel.llm.rules import COMMON, quality_rules
 from weekpanel.llm.sharding import shard_by_bytes
 from weekpanel.llm.skyband import divergence_audit
@@ -98,6 +99,12 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_automaton_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query
 def op12_skyband_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(read(spark, sf_dir, "documents").select("text", "lang", "source"))
@@ -170,6 +177,17 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 SQL["op10_divergence_rules"] = _rules_sql()
 
 
+SQL["op11_automaton_repeats"] = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS.format("coalesce(text, '')")} as ws from documents),
+w as (select r, doc_id, i, array_to_string(ws[i:i+49], ' ') as g
+      from (select r, doc_id, ws, unnest(range(1, len(ws) - 48)) as i from d where len(ws) >= 50 and doc_id is not null)),
+m as (select r, i, doc_id > min(doc_id) over (partition by g) as again from w),
+c as (select r, list(distinct i + k) as gone from m, range(50) v(k) where again group by 1),
+k as (select doc_id, len(ws) as n_words, coalesce(len(gone), 0) as n_removed,
+        case when gone is null then ws else list_transform(list_filter(range(1, len(ws) + 1), lambda i: not list_contains(gone, i)), lambda i: ws[i]) end as kept
+      from d left join c using (r))
+select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k"""
+
 SQL["op12_skyband_audit"] = f"""
 with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
              regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
