@@ -130,18 +130,19 @@ def _cut(window: int):
 
 
 def _digested(window: int):
+    """The digests of all windows; the words of many pieces are digested as one text, without the windows that cross a border."""
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Windows(window)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
-                found = [of.digests(w.split()) for w in b.column(2).to_pylist()]
-                sizes = [f.shape[1] for f in found]
-                w = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(w[0]), pa.array(w[1]), pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(np.repeat(b.column(1).to_numpy(), sizes)),
-                    pa.array(np.concatenate([np.arange(s, dtype=np.int64) for s in sizes] or [np.empty(0, np.int64)])),
-                ], ["w", "v", "id", "at", "place"])
+                sizes = b.column(2).to_numpy()
+                starts = np.cumsum(sizes + window - 1) - (sizes + window - 1)
+                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                w, v = of.digests(b" ".join(b.column(3).to_pylist()).split())[:, np.repeat(starts, sizes) + place]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (w, v, np.repeat(b.column(0).to_numpy(), sizes), np.repeat(b.column(1).to_numpy(), sizes), place)],
+                    ["w", "v", "id", "at", "place"])
     return digested
 
 
@@ -304,7 +305,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, order: str = "doc_id", tex
         _cut(window), "id long, k1 long, k2 long, key long, at long, n long, words binary"))
 
     # The reference: of each window that occurs in two documents, the first one.
-    digests = pieces.select("id", "at", "words").mapInArrow(_digested(window), "w long, v long, id long, at long, place long")
+    digests = pieces.select("id", "at", "n", "words").mapInArrow(_digested(window), "w long, v long, id long, at long, place long")
     first = digests.groupBy("w", "v").agg(F.min(F.struct("id", "at", "place")).alias("f"), F.max("id").alias("high")).where("f.id < high")
     places = first.groupBy("f.id", "f.at").agg(F.collect_list("f.place").alias("places"))
     reference = _stored(pieces.select("key", "id", "at", "words").join(places, ["id", "at"]).select("key", "id", "words", "places").mapInArrow(
