@@ -346,6 +346,18 @@ def test_near_duplicates_against_brute_force(spark, odd, none, monkeypatch):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    """Each text of an id is judged by itself, in the operator and in the stage of the pipeline."""
+    import corpus_pipeline
+
+    copy, own = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, copy, "a"), (5, copy, "b"), (5, own, "c"), (5, own, "c"), (6, own, "d"), (7, None, "e"), (None, copy, "f")], "doc_id long, text string, _hash string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (5, 5, True), (6, 5, False), (7, 7, True), (None, None, True)}
+    left = sorted((r["_hash"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()))
+    assert left == ["a", "c", "e", "f"]
+
+
 @pytest.mark.parametrize("part", [50, 2048])
 def test_near_duplicates_around_one_passage(spark, monkeypatch, part):
     """Pairs that are each other's only near copy, in regions too large at the last depth since all texts share a long passage."""

@@ -104,14 +104,15 @@ def _sketch(width: int):
                     signatures.append(values.tobytes() if len(s) else None)
                     short.append(values.astype(np.uint8).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n, pa.int64()), pa.array([k for k, _ in keys], pa.int64()),
+                    [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array([k for k, _ in keys], pa.int64()),
                      pa.array([k for _, k in keys], pa.int64()), pa.array(signatures, pa.binary()), pa.array(short, pa.binary())],
-                    ["id", "n", "k1", "k2", "sig", "short"])
+                    ["id", "h", "n", "k1", "k2", "sig", "short"])
     return sketch
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
-    """As many partitions as ``rows`` narrow rows fill, so small tables do not spread over many tiny files."""
+    """As many partitions as ``rows`` narrow rows fill, so small tables do not spread over many tiny files; not for the rows of a join,
+    which would run in so few tasks."""
     return df.coalesce(max(1, -(-rows // PARTITION_ROWS)))
 
 
@@ -128,21 +129,20 @@ def _regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     while True:
         tagged = current.select("cid", "tree", prefix(depth).alias("region"))
         sizes = freeze(tagged.groupBy("region").count().where("count > 1"))
-        largest, shared = (x or 0 for x in sizes.agg(F.max("count"), F.sum("count")).first())
-        members = _few(tagged.join(sizes, "region"), shared)
+        largest = sizes.agg(F.max("count")).first()[0] or 0
+        members = tagged.join(sizes, "region")
         if largest <= REGION:
             found.append(members.select("region", "cid"))
             break
         members = freeze(members)
         found.append(members.where(F.col("count") <= REGION).select("region", "cid"))
         over = members.where(F.col("count") > REGION)
-        part = F.pmod(F.xxhash64("cid", "tree"), F.ceil(F.col("count") / (REGION / 2)))
-        found.append(over.select(F.xxhash64("region", part).alias("region"), "cid"))
-        if depth == DEPTH:
+        if depth == DEPTH:  # a member leaves one row for a tree: its region, or its part of the last one
+            part = F.pmod(F.xxhash64("cid", "tree"), F.ceil(F.col("count") / (REGION / 2)))
+            found.append(over.select(F.xxhash64("region", part).alias("region"), "cid"))
             large = over.select("region", "tree", "cid")
             break
-        left = members.where(F.col("count") > REGION).count()
-        current, depth = _few(_few(over.select("cid", "tree"), left).join(classes, "cid"), left), depth + 1
+        current, depth = over.select("cid", "tree").join(classes, "cid"), depth + 1
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -158,7 +158,7 @@ def _blocks(large: DataFrame, labels: DataFrame) -> DataFrame:
     """
     rows = large.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     n = large.count()
-    rows = freeze(_few(rows, n))
+    rows = freeze(rows)
     several = freeze(rows.groupBy("region").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("region"))
     rows = rows.join(several, "region", "left_semi")
     owned = freeze(_few(rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n")), n))
@@ -167,7 +167,7 @@ def _blocks(large: DataFrame, labels: DataFrame) -> DataFrame:
     dealt = rows.join(big, ["region", "label"], "left").join(rest, "region", "left").withColumn("pure", F.when(F.col("n").isNotNull(), F.col("label")))
     alone = F.xxhash64("region", "label", F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / PART)))
     part = F.when(F.col("pure").isNotNull(), alone).otherwise(F.xxhash64("region", F.pmod(F.xxhash64("label"), F.ceil(F.col("rest") / PART))))
-    dealt = freeze(_few(dealt.select("region", "tree", "cid", "label", "pure", part.alias("part")), n))
+    dealt = freeze(dealt.select("region", "tree", "cid", "label", "pure", part.alias("part")))
     parts = freeze(_few(dealt.select("region", "part", "pure").distinct(), n))
     others = parts.select("region", F.col("part").alias("other"), F.col("pure").alias("other_pure"))
     pairs = parts.join(others, "region").where("part <= other and not coalesce(pure = other_pure, false)")
@@ -305,7 +305,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     heavy = pairs.groupBy("a").count().where(F.col("count") > BLOCK_PAIRS).withColumnRenamed("count", "n_a")
     part = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("n_a", F.lit(1)) / BLOCK_PAIRS))
     block = F.pmod(F.xxhash64("a", part), F.lit(blocks))
-    blocked = freeze(_few(pairs.join(heavy, "a", "left").select(block.alias("block"), "a", "b"), n))
+    blocked = freeze(pairs.join(heavy, "a", "left").select(block.alias("block"), "a", "b"))
     needed = _few(blocked.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("cid")).distinct(), 2 * n).join(sets, "cid")
     hundredths = round(100 * similarity)
 
@@ -341,7 +341,7 @@ def components(edges: DataFrame) -> DataFrame:
         roots = labels.select(F.col("cid").alias("root"), F.col("label").alias("further"))
         told = both.join(labels.withColumnRenamed("cid", "b"), "b").select(F.col("a").alias("cid"), "label", F.lit(None).cast("long").alias("old"))
         jumped = labels.join(roots, labels["label"] == roots["root"]).select("cid", F.col("further").alias("label"), F.col("label").alias("old"))
-        heard = _few(told.unionByName(jumped), n).groupBy("cid").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        heard = told.unionByName(jumped).groupBy("cid").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         after = freeze(_few(heard, n))
         labels = after.select("cid", "label")
         if after.where("label <> old").isEmpty():
@@ -361,15 +361,15 @@ def _joined(labels: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, order: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``order``, n_shingles, component_id, kept) of every row.
+    """(``order``, n_shingles, component_id, kept, text_hash) of every row; ``text_hash`` is ``xxhash64`` of the text.
 
     Words are runs without ASCII blanks, A-Z in lower case. Rows with equal sets are one class and are linked through it; texts with fewer
     words than ``width`` are one shingle; NULL and empty texts have no set and are linked with nothing. ``component_id`` is the smallest
-    id reachable. Rows repeated under one id share their component and are all kept or not; rows with a NULL id take no part, have no
-    component and are kept. An empty table gives no rows. Other columns are left out.
+    id reachable. Rows repeated under one id are all kept or not; rows of one id with different texts are judged each by its own text. Rows
+    with a NULL id take no part, have no component and are kept. An empty table gives no rows. Other columns are left out.
     """
     source = docs.select(F.col(f"`{order}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = freeze(source.mapInArrow(_sketch(width), "id long, n long, k1 long, k2 long, sig binary, short binary"))
+    rows = freeze(source.withColumn("h", F.xxhash64("text")).mapInArrow(_sketch(width), "id long, h long, n long, k1 long, k2 long, sig binary, short binary"))
     some = rows.where("n > 0 and id is not null")
     classes = freeze(some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("short").alias("short"))
                      .withColumnRenamed("k1", "cid").drop("k2"))
@@ -424,10 +424,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, o
     known = freeze(found.join(smallest, "label").select("cid", "component_id"))
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = rows.select(
-        "id", "n", F.when(F.col("id").isNotNull(), F.col("k1")).alias("cid"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+        "id", "h", "n", F.when(F.col("id").isNotNull(), F.col("k1")).alias("cid"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
     ).join(salted, ["cid", "salt"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(order), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.col("h").alias("text_hash"),
     )

@@ -76,7 +76,7 @@ def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query
