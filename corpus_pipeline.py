@@ -26,30 +26,40 @@ def _judged(docs: DataFrame, classify: Callable[[DataFrame], DataFrame], keep: s
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Rows are judged one by one: NULL and empty texts are scored as empty ones,
+    repeated rows share their verdict, and an empty table gives no rows."""
     return _judged(docs, lambda d: classify_quality(d, read(spark, sf_dir, "labels")), "predicted = 1")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject."""
+    """Documents that the toxicity classifier does not reject, row by row: NULL and empty texts hold no insult and stay."""
     return _judged(docs, lambda d: classify_toxicity(d, read(spark, sf_dir, "labels")), "predicted = 0")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates. Rows that repeat an id count as copies; rows without an id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates.
+
+    Rows that repeat an id and its text count as one; rows of one id with different texts are judged each by its own text. Rows without an
+    id, texts without words and NULL texts stay. An empty table gives no rows.
+    """
+    name = "_hash"
+    while name in docs.columns:
+        name += "_"
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id", F.col("text_hash").alias(name)).distinct()
+    hashed = docs.where("doc_id is not null").withColumn(name, F.xxhash64("text"))
+    known = hashed.join(kept, ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
     return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Texts without words weigh nothing and are
+    taken as often as the rounded factor of their source; a NULL source is one of its own. An empty table gives no rows."""
     taken = mix(docs, F.size(words(F.col("text")))).where("copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of 4096 tokens, with their ids."""
+    """Pieces of the mixed documents in sequences of 4096 tokens, with their ids. A NULL text is packed as an empty one."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
