@@ -24,10 +24,11 @@ from weekpanel.session import freeze
 
 TREES, DEPTH, FIRST = 24, 6, 3
 REGION = 768  # members of a region that are compared with each other
+PART_TREES = 4  # in one of so many trees the random parts of a large region are compared as well
 PART = 2048  # members of a part of a region that is too large at the last depth
 NEAREST, HUBS = 1, 1  # first candidates of a member of a dense region
 ERRORS = 3.5  # standard errors that an estimate may lie below the wanted similarity
-FINE = 512  # values of the finer signature, for the members of dense regions
+FINE = 1024  # values of the finer signature, for the members of dense regions
 BLOCK_PAIRS = 3000
 KEPT_WORDS = 400_000
 #: Up to so many ids (8 bytes each) are broadcast to find the texts of candidates; beyond it the texts are shuffled to them.
@@ -137,11 +138,14 @@ def _regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         members = freeze(members)
         found.append(members.where(F.col("count") <= REGION).select("region", "cid"))
         over = members.where(F.col("count") > REGION)
-        if depth == DEPTH:  # a member leaves one row for a tree: its region, or its part of the last one
-            part = F.pmod(F.xxhash64("cid", "tree"), F.ceil(F.col("count") / (REGION / 2)))
-            found.append(over.select(F.xxhash64("region", part).alias("region"), "cid"))
+        part = F.pmod(F.xxhash64("cid", "tree"), F.ceil(F.col("count") / (REGION / 2)))
+        parts = over.select("tree", F.xxhash64("region", part).alias("region"), "cid")
+        if depth == DEPTH:
+            found.append(parts.select("region", "cid"))
             large = over.select("region", "tree", "cid")
             break
+        if depth == FIRST:  # a large group of copies is joined in its random parts, long before its small regions are looked at
+            found.append(parts.where(F.col("tree") % PART_TREES == 0).select("region", "cid"))
         current, depth = over.select("cid", "tree").join(classes, "cid"), depth + 1
     out = found[0]
     for more in found[1:]:
