@@ -248,8 +248,8 @@ def test_var_equals_least_squares_over_many_batches(spark):
 def test_foreign_key_stops_at_a_lost_fact(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     dim = spark.createDataFrame([("a", 7)], "k string, id int")
-    assert rows(joins.foreign_key(df.filter("k = 'a'"), dim, {"k": "k"}, "id", check=False)) == [(1, 7)]
-    for bad in (joins.foreign_key(df, dim, {"k": "k"}, "id", check=False), joins.foreign_key(df, dim.union(dim).union(dim.withColumn("k", F.lit("b"))), {"k": "k"}, "id", check=False)):
+    assert rows(joins.foreign_key(df.filter("k = 'a'"), dim, {"k": "k"}, "id")) == [(1, 7)]
+    for bad in (joins.foreign_key(df, dim, {"k": "k"}, "id"), joins.foreign_key(df, dim.union(dim).union(dim.withColumn("k", F.lit("b"))), {"k": "k"}, "id")):
         with pytest.raises(Exception, match="no single row"):
             bad.collect()
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from weekpanel.contracts import STATEMENT_FEATURES, fundamentals_columns
 from weekpanel.operators.models import best_vs_baselines, coefficient_table, rank_models, selected_variables, standardise, standardise_fit
-from weekpanel.plans.evaluation import sector_predictions
+from weekpanel.plans.evaluation import best_model_predictions, evaluate
 from weekpanel.plans.fundamentals import ITEMS, align_to_weeks, point_in_time_fundamentals, statement_factors
 from weekpanel.plans.prices import price_features, weekly_bars
 from weekpanel.plans.scoring import score_texts, score_with_cache
@@ -201,14 +201,18 @@ def test_train_rank_and_predict(spark):
             for t in range(3) for y in (2023, 2025, 2026) for w in range(40)]
     df = spark.createDataFrame(data, "Ticker string, WeekEndingFriday date, `AdjClosePrice_t+1` double, `AdjClosePrice_t+1_Up` int, x double, z double, SectorCode int")
     out = train_and_rank(df, None, c_grid=[1.0], forest_grid=[{"numTrees": 5, "maxDepth": 3}], boost_grid=[{"maxIter": 3, "maxDepth": 2}],
-                         net_grid=[{"hidden1": 4, "hidden2": 3, "max_iter": 20}])
+                         net_grid=[{"hidden1": 4, "hidden2": 3, "max_iter": 20}], store=fresh_path(shared_dir(spark)))
     acc = {r["model"]: r["test_accuracy"] for r in out.collect()}
     assert len(acc) == 8 and acc["lasso_logistic"] > 0.9 and acc["always_zero_model"] > 0.6 and abs(acc["always_zero_model"] + acc["always_one_model"] - 1) < 1e-9
 
-    from weekpanel.operators.models import plain_logistic, vectors
-    model = plain_logistic(df.count()).fit(vectors(df, ["x", "z"]))
-    p = sector_predictions({"s": ("logistic_regression", model)}, {"s": df}, {"s": ["x", "z"]})
-    assert p.count() == df.count() and p.filter("predicted_probability < 0.5 or predicted_probability > 1").count() == 0
+    test = df.filter(F.year("WeekEndingFriday") == 2026)
+    p, summary = evaluate(test, out)
+    assert summary.count() == 1 and p.count() == 120 and p.filter("predicted_probability < 0.5 or predicted_probability > 1").count() == 0
+    for model in ("lasso_logistic", "logistic_regression", "random_forest", "xgboost", "neural_network"):  # each stored pipeline gives its own accuracy again
+        one = best_model_predictions(test, out.filter(F.col("model").isin(model, "null_model", "always_one_model", "always_zero_model")))
+        assert one.agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0] == pytest.approx(acc[model])
+    with pytest.raises(ValueError):
+        evaluate(test, out.withColumn("test_accuracy", F.lit(0.123)))
 
 
 def test_unmatched_fact_is_an_error(spark):

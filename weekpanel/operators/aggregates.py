@@ -7,11 +7,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekpanel.functions.numeric import pct, safe_divide
+from weekpanel.operators.joins import broadcast_if_small
+from weekpanel.session import freeze
 
 NATIVE_PAIRS = 200
 
@@ -207,42 +209,56 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], native_pairs: int =
     )
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, probabilities: Sequence[float],
-                    buckets: int = 256) -> DataFrame:
+def exact_quantiles(df: DataFrame, group: str, value: str, probabilities: Sequence[float], reach: float = 0.01,
+                    size: int = 1024) -> DataFrame:
     """Interpolated quantiles per group, one column ``q0, q1, ...`` each.
 
-    Works on the counts of the distinct values, cumulated inside value ranges of the group and then
-    over the ranges. The ranges are cut at approximate quantiles of the distinct values, so they hold about equally many
-    whatever the values are, and no task holds a whole group.
+    A mergeable sketch gives an interval of values around each wanted rank. The second pass counts what lies below it and keeps
+    only the values inside, about two times ``reach`` of a group, whose counts are cumulated; no task holds a group. Where a
+    rank turns out to lie outside its interval, those groups are done again with a wider one. NaN counts as the largest value.
     """
     v = _q(value).cast("double")
-    values = df.filter(v.isNotNull()).groupBy(group, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    limits = values.groupBy(group).agg(
-        F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_cuts"), F.sum("_n").alias("_total")
+    values = df.filter(v.isNotNull()).select(group, v.alias("_v"))
+    sketched = values.groupBy(group).agg(
+        F.kll_sketch_agg_double(F.when(~F.isnan("_v"), F.col("_v")), F.lit(size)).alias("_s"), F.count(F.lit(1)).alias("_total"),
+        F.count_if(F.isnan("_v")).alias("_nan"),
     )
-    below_value = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    placed = values.join(limits, group).withColumn("_b", below_value).drop("_cuts")
-    below = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy(group, "_b").agg(F.sum("_n").alias("_m"))
-    offsets = sizes.select(group, "_b", F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_below"))
-    inside = Window.partitionBy(group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("_cum", F.sum("_n").over(inside)).join(offsets, [group, "_b"])
-    end = F.col("_below") + F.col("_cum")
-    start = end - F.col("_n")
-
-    def at(rank):
-        return F.max(F.when((start <= rank) & (rank < end), F.col("_v")))
-
-    last = F.col("_total") - 1
-    picks = []
-    for i, p in enumerate(probabilities):
-        h = last * F.lit(float(p))
-        picks += [at(F.floor(h)).alias(f"_l{i}"), at(F.ceil(h)).alias(f"_u{i}")]
-    found = ranked.groupBy(group, "_total").agg(*picks)
-    return found.select(group, *[
-        (F.col(f"_l{i}") + (F.col(f"_u{i}") - F.col(f"_l{i}")) * (last * F.lit(float(p)) - F.floor(last * F.lit(float(p))))).alias(f"q{i}")
-        for i, p in enumerate(probabilities)
+    def edge(i: int, p: float) -> Column:  # a small group has no more values than an interval may hold: all of them
+        def near(r: float) -> Column:
+            return F.kll_sketch_get_quantile_double("_s", F.lit(min(max(r, 0.0), 1.0)))
+
+        end = near(float(i))
+        return F.when(F.col("_total") == F.col("_nan"), None).when(F.col("_total") <= size, end).otherwise(near(p + (reach if i else -reach)))
+
+    place = [(F.col("_total") - 1) * F.lit(float(p)) for p in probabilities]
+    edges = [edge(i, float(p)) for p in probabilities for i in (0, 1)]
+    bounds = sketched.select(group, "_total", *[e.alias(f"_{'lh'[i % 2]}{i // 2}") for i, e in enumerate(edges)])
+    joined = values.join(broadcast_if_small(freeze(bounds)), group)
+    tagged = F.array(*[
+        F.when(F.isnan("_v") | (F.col("_v") >= F.col(f"_l{i}")), F.when(F.isnan("_v") | (F.col("_v") <= F.col(f"_h{i}")), F.struct(F.lit(i).alias("i"), F.col("_v").alias("v"))))
+        .otherwise(F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("v")))
+        for i in range(len(place))
     ])
+    counted = joined.select(group, "_total", F.explode(F.filter(tagged, lambda x: x.isNotNull())).alias("t")).groupBy(
+        group, "_total", "t.i", "t.v").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = Window.partitionBy(group, "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_end", F.sum("_n").over(ordered)).withColumn("_start", F.col("_end") - F.col("_n"))
+
+    def at(i: int, rank: Column) -> Column:
+        return F.max(F.when((F.col("i") == i) & (F.col("_start") <= rank) & (rank < F.col("_end")), F.col("v")))
+
+    found = freeze(ranked.groupBy(group, "_total").agg(*[
+        c for i, h in enumerate(place) for c in (at(i, F.floor(h)).alias(f"_a{i}"), at(i, F.ceil(h)).alias(f"_b{i}"))]))
+    missed = F.greatest(*[F.col(f"_{c}{i}").isNull().cast("int") for i in range(len(place)) for c in "ab"]) == 1
+    out = found.filter(~missed).select(group, *[
+        F.when(F.col(f"_a{i}") == F.col(f"_b{i}"), F.col(f"_a{i}")).otherwise(
+            F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (h - F.floor(h))).alias(f"q{i}")
+        for i, h in enumerate(place)
+    ])
+    again = found.filter(missed).select(group)
+    if reach >= 1 or again.isEmpty():
+        return out
+    return out.unionByName(exact_quantiles(df.join(again, group, "left_semi"), group, value, probabilities, 10 * reach, size))
 
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:

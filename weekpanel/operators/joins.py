@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from weekpanel.contracts import ContractError
+from weekpanel.operators.heavy import salted_lookup
 from weekpanel.operators.ranking import WINDOW_ROWS, occurrence_index
 
 BROADCAST_ROWS = 100_000
@@ -52,11 +52,11 @@ def occurrence_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left
 
 def first_match(df: DataFrame, right: DataFrame, on: Sequence[str], order: Sequence[Column],
                 columns: Sequence[str]) -> DataFrame:
-    """For every row the first matching row of the right side, else NULL."""
+    """For every row the first matching row of the right side, else NULL. Rows of a heavy key are dealt over many tasks."""
     by = [o.alias(f"_o{i}") for i, o in enumerate(order)]
     picked = F.min(F.struct(*by, *[F.col(f"`{c}`") for c in columns])).alias("_first")
     first = right.groupBy(*on).agg(picked).select(*on, *[F.col(f"_first.`{c}`") for c in columns])
-    return df.join(first, list(on), "left")
+    return salted_lookup(df, first, on)
 
 
 def unmatched(df: DataFrame, dim: DataFrame, on: Mapping[str, str]) -> DataFrame:
@@ -66,17 +66,13 @@ def unmatched(df: DataFrame, dim: DataFrame, on: Mapping[str, str]) -> DataFrame
 
 
 def foreign_key(df: DataFrame, dim: DataFrame, on: Mapping[str, str], key: str, alias: str | None = None,
-                check: bool = True) -> DataFrame:
+                lost: Observation | None = None) -> DataFrame:
     """Natural key to surrogate id; every fact must find exactly one row.
 
-    ``on`` maps fact columns to dimension columns. The natural columns are dropped. With ``check`` the violations are counted
-    first and named in the error; without, the same pass that looks up an id stops at a fact that finds none or several.
+    ``on`` maps fact columns to dimension columns. The natural columns are dropped. The pass that looks up an id stops at a fact that
+    finds none or several. With ``lost`` such facts are dropped instead and counted on the way: after the first action on the result the
+    observation holds ``rows_in``, ``rows_unmatched`` and ``rows_ambiguous``.
     """
-    if check:
-        twice = dim.groupBy(*on.values()).count().filter("count > 1").limit(1).collect()
-        lost = unmatched(df, dim, on).limit(5).collect()
-        if twice or lost:
-            raise ContractError(f"foreign key {dict(on)}: duplicate {twice}, unmatched {lost}")
     names = {b: f"_k{i}" for i, b in enumerate(on.values())}
     side = dim.groupBy(*[F.col(f"`{b}`").alias(n) for b, n in names.items()]).agg(F.min(key).alias("_id"), F.count(F.lit(1)).alias("_rows"))
     out = df
@@ -84,10 +80,15 @@ def foreign_key(df: DataFrame, dim: DataFrame, on: Mapping[str, str], key: str,
     for a, b in on.items():
         eq = out[f"`{a}`"] == side[names[b]]
         cond = eq if cond is None else cond & eq
+    columns = [out[f"`{c}`"] for c in df.columns if c not in on]
+    joined = out.join(side, cond, "left")
+    if lost is not None:
+        seen = joined.observe(lost, F.count(F.lit(1)).alias("rows_in"), F.count_if(F.col("_rows").isNull()).alias("rows_unmatched"),
+                              F.count_if(F.col("_rows") > 1).alias("rows_ambiguous"))
+        return seen.filter("_rows = 1").select(*columns, F.col("_id").alias(alias or key))
     said = F.concat(F.lit(f"foreign key {dict(on)}: no single row for "), F.to_json(F.struct(*[out[f"`{a}`"].alias(a) for a in on])))
     found = F.when(F.col("_rows") == 1, F.col("_id")).otherwise(F.raise_error(said).cast("long")).alias(alias or key)
-    columns = [out[f"`{c}`"] for c in df.columns if c not in on]
-    return out.join(side, cond, "left").select(*columns, found)
+    return joined.select(*columns, found)
 
 
 def as_of(df: DataFrame, keys: Sequence[str], day: str, value: str, reference: str) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable, Sequence
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,21 @@ def vectors(df: DataFrame, columns: Sequence[str], target: str = TARGET, keep: S
     return VectorAssembler(inputCols=names, outputCol="features").transform(flat).drop(*names)
 
 
+def raw_pipeline(columns: Sequence[str], fitted: dict[str, tuple[float, float]], model) -> PipelineModel:
+    """A fitted model behind the steps that lead from plain columns to its vectors; it can be saved, loaded and run anywhere.
+
+    ``fitted`` are the means and deviations of ``standardise_fit``, none for models that take the columns as they are.
+    """
+    def scaled(c: str) -> str:
+        name = f"cast(`{c.replace('`', '``')}` as double)"
+        m, s = fitted.get(c, (0.0, 1.0))
+        return f"({name} - ({m!r}D)) / ({s or 1.0!r}D)" if fitted else name
+
+    names = [f"_x{i}" for i in range(len(columns))]
+    flat = SQLTransformer(statement=f"SELECT *, {', '.join(f'{scaled(c)} AS {n}' for c, n in zip(columns, names))} FROM __THIS__")
+    return PipelineModel([flat, VectorAssembler(inputCols=names, outputCol="features"), model])
+
+
 def accuracy_of(model, data: DataFrame) -> float:
     return model.transform(data).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekpanel.functions.dates import in_range
 from weekpanel.functions.text import is_blank, normalize_id
+from weekpanel.operators.heavy import LEAST_ROWS, SHARE, salted_lookup
 
 INLINE_VALUES = 1000
 
@@ -45,8 +46,12 @@ def filter_not_in(df: DataFrame, column: str, values) -> DataFrame:
     return df.join(_values(df, column, values), column, "left_anti")
 
 
-def filter_date_range(df: DataFrame, ts: str, start: str, end_exclusive: str) -> DataFrame:
-    return df.filter(in_range(ts, start, end_exclusive))
+def filter_date_range(df: DataFrame, ts: str, start: str, end_exclusive: str, seen: Observation | None = None) -> DataFrame:
+    """Rows of the range. With ``seen`` kept and dropped rows are counted in the job that filters them, not in one of their own."""
+    inside = in_range(ts, start, end_exclusive)
+    if seen is not None:
+        df = df.observe(seen, F.count_if(inside).alias("kept"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("dropped"))
+    return df.filter(inside)
 
 
 def count_out_of_range(df: DataFrame, ts: str, start: str, end_exclusive: str) -> DataFrame:
@@ -163,10 +168,13 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def ties_of_best(df: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
-    """All rows that share the largest measure of their group."""
-    best = df.groupBy(*keys).agg(F.max(measure).alias("_max"))
-    return df.join(best, list(keys)).filter(F.col(measure) == F.col("_max")).drop("_max")
+def ties_of_best(df: DataFrame, keys: Sequence[str], measure: str, share: float = SHARE, least: int = LEAST_ROWS) -> DataFrame:
+    """All rows that share the largest measure of their group. The pass that finds it also counts, so heavy groups are dealt over many tasks."""
+    best = df.groupBy(*keys).agg(F.max(measure).alias("_max"), F.count(F.lit(1)).alias("_n"))
+    total = best.agg(F.sum("_n")).scalar()
+    heavy = best.filter((F.col("_n") > least) & (F.col("_n") > share * total)).select(*keys)
+    found = salted_lookup(df, best.drop("_n"), keys, "inner", heavy)
+    return found.filter(F.col(measure) == F.col("_max")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:

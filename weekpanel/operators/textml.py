@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekpanel.functions.text import without_links
+from weekpanel.operators.heavy import LEAST_ROWS, SHARE, salted_lookup
+from weekpanel.session import freeze
 
 # Negations that stay in the text, and the vocabulary bounds.
 NEGATIONS = ["not", "no", "nor", "n't"]
@@ -55,13 +57,20 @@ def vocabulary(counts: DataFrame, n_docs: Column, min_df: int = MIN_DF, max_df:
     )
 
 
+def on_vocabulary(counts: DataFrame, vocab: DataFrame, share: float = SHARE, least: int = LEAST_ROWS) -> DataFrame:
+    """Counts of the terms of a vocabulary, with its columns; a term of a large share of all documents is dealt over many tasks."""
+    total = vocab.agg(F.sum("df")).scalar()
+    heavy = vocab.filter((F.col("df") > least) & (F.col("df") > share * total)).select("term")
+    return salted_lookup(counts, vocab, ["term"], "inner", heavy)
+
+
 def bag_of_words_long(docs: DataFrame, doc: str, tokens: str, vocab: DataFrame | None = None,
                       min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
     """Counts on the vocabulary of the same documents, or on one learnt elsewhere."""
-    counts = term_counts(docs, doc, tokens)
+    counts = freeze(term_counts(docs, doc, tokens))  # read twice: for the vocabulary and for the result
     if vocab is None:
         vocab = vocabulary(counts, docs.agg(F.count(F.lit(1))).scalar(), min_df, max_df)
-    return counts.join(vocab.select("term"), "term", "left_semi")
+    return on_vocabulary(counts, vocab).select(*counts.columns)
 
 
 def tfidf_long(docs: DataFrame, doc: str, tokens: str, vocab: DataFrame | None = None, n_docs: Column | None = None,
@@ -70,10 +79,10 @@ def tfidf_long(docs: DataFrame, doc: str, tokens: str, vocab: DataFrame | None =
 
     The window for the length holds the distinct terms of one document, at most one input row's text.
     """
-    counts = term_counts(docs, doc, tokens)
+    counts = freeze(term_counts(docs, doc, tokens))
     n = n_docs if n_docs is not None else docs.agg(F.count(F.lit(1))).scalar()
     terms = vocab if vocab is not None else vocabulary(counts, n, min_df, max_df)
-    raw = counts.join(terms, "term").select(
+    raw = on_vocabulary(counts, terms).select(
         doc, "term", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("w")
     )
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))

@@ -66,8 +66,8 @@ def enterprises(candidates: DataFrame, per_sector: int = 10, excluded: Sequence[
 
 def select_universe(active: DataFrame, delisted: DataFrame, caps: DataFrame, reference: str = REFERENCE_DATE,
                     per_sector: int = 10, excluded: Sequence[str] = tuple(EXCLUDED_TICKERS),
-                    codes: Mapping[str, int] = SECTOR_CODES) -> DataFrame:
-    """From screened and delisted companies to the final universe."""
+                    codes: Mapping[str, int] = SECTOR_CODES, window: Sequence[str] | None = CAP_WINDOW) -> DataFrame:
+    """From screened and delisted companies to the final universe; ``window`` bounds the days of the market caps."""
     both = combine_candidates(active_candidates(active), delisted_candidates(delisted, reference))
-    capped = attach_market_caps(both, caps, reference)
+    capped = attach_market_caps(both, caps, reference, window)
     return enterprises(attach_sector_codes(capped, codes), per_sector, excluded)

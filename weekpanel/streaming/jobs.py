@@ -11,11 +11,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from weekpanel.operators.rows import branch_key
-from weekpanel.plans.scoring import TEXT, analysis_text, distinct_texts, lexicon_scores, missing_texts
+from weekpanel.plans.scoring import TEXT, analysis_text, digest, lexicon_scores
 from weekpanel.sources.upsert import append_batch, latest_per_key, refresh_partitions
+from weekpanel.sources.versions import commit, current, prune, remove
 
 
 def stream_weekly_counts(events: DataFrame, ts: str, keys: Sequence[str], delay: str = "14 days") -> DataFrame:
@@ -58,8 +59,39 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
 
 def latest_counts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest count of every key and week over all batches."""
-    return latest_per_key(spark.read.parquet(path), [*keys, "WeekEndingFriday"])
+    """Newest count of every key and week: the compacted version, if there is one, and the batches stored since."""
+    kept = current(spark, f"{path}_compacted")
+    later = spark.read.parquet(path) if batch_numbers(spark, path) else None
+    rows = later if kept is None else kept if later is None else kept.unionByName(later)
+    return latest_per_key(rows, [*keys, "WeekEndingFriday"])
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str]) -> int:
+    """Fold all stored batches into one version of the newest row per key, remove their folders, and return how many there were.
+
+    A reader sees the old version and the batches until the new version is finished. Batches that were folded are removed after
+    that, so a failure in between leaves rows twice, of which the newest counts all the same.
+    """
+    done = batch_numbers(spark, path)
+    if not done:
+        return 0
+    kept = current(spark, f"{path}_compacted")
+    folded = spark.read.parquet(path).filter(F.col("batch_id").isin(done))
+    rows = folded if kept is None else kept.unionByName(folded)
+    order = F.struct("batch_id", *[F.col(f"`{c}`") for c in rows.columns if c not in (*keys, "batch_id")])
+    newest = rows.groupBy(*keys).agg(F.max(order).alias("_b")).select(*keys, "_b.*")
+    commit(newest.select(rows.columns), f"{path}_compacted")
+    prune(spark, f"{path}_compacted")
+    for number in done:
+        remove(spark, f"{path}/batch_id={number}")
+    return len(done)
+
+
+def batch_numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the stored batches; only names are listed."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path, "batch_id=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(int(f.getPath().getName().removeprefix("batch_id=")) for f in found)
 
 
 def stream_upsert(stream: DataFrame, path: str, key: str, checkpoint: str) -> DataStreamWriter:
@@ -69,28 +101,49 @@ def stream_upsert(stream: DataFrame, path: str, key: str, checkpoint: str) -> Da
     )
 
 
-def stream_score_new_texts(articles: DataFrame, cache_path: str, checkpoint: str,
-                           scorer: Callable[[DataFrame], DataFrame] = lexicon_scores, first_batch: int = 0) -> DataStreamWriter:
-    """Score the texts of each batch that the cache does not hold yet, and add them to it.
+class FirstOfKey(StatefulProcessor):
+    """Passes on the first row of every key and remembers the key; later rows of it, in this batch or any other, are dropped."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInitialState(self, key, initial, timer_values) -> None:  # noqa: N802
+        self._seen.update((True,))
+
+    def handleInputRows(self, key, rows, timer_values):  # noqa: N802
+        if not self._seen.exists():
+            self._seen.update((True,))
+            yield next(iter(rows))
 
-    ``first_batch`` shifts the batch numbers, so a new query does not replace the batches of an older one.
+    def close(self) -> None:
+        pass
+
+
+def first_of_key(stream: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
+    """The first row of each key over the whole life of the stream, by keyed state: each batch meets its own keys only.
+
+    ``known`` holds keys (column ``key``) that count as seen before the first batch; it is read once, when the stream starts anew.
     """
+    initial = None if known is None else known.select(F.col(key)).distinct().groupBy(key)
+    return stream.groupBy(key).transformWithState(
+        statefulProcessor=FirstOfKey(), outputStructType=stream.schema, outputMode="Append", timeMode="None", initialState=initial)
+
 
-    def run(df: DataFrame, number: int) -> None:
-        batch_id = number + first_batch
-        spark = df.sparkSession
-        texts = distinct_texts(analysis_text(df))
-        if _exists(spark, cache_path):
-            # rows of an earlier try of this batch do not count as known: the batch replaces them
-            known = spark.read.parquet(cache_path).filter(F.col("batch_id") != batch_id).select(TEXT)
-            texts = missing_texts(texts, known)
-        append_batch(scorer(texts), cache_path, batch_id)
+def stream_score_new_texts(articles: DataFrame, cache_path: str, checkpoint: str,
+                           scorer: Callable[[DataFrame], DataFrame] = lexicon_scores, known: DataFrame | None = None) -> DataStreamWriter:
+    """Score every text when it comes for the first time and add it to the cache, each batch in a partition of its own.
 
-    return articles.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run)
+    The digests of scored texts are the stream's state, kept in its checkpoint; the cache itself is never read. ``known`` is an older
+    cache that the stream takes over at its first start. Needs ``rocksdb`` as state store (``keyed_state``).
+    """
+    texts = analysis_text(articles).filter(F.col(TEXT) != "").select(digest(TEXT).alias("digest"), TEXT)
+    old = None if known is None else known.select(digest(TEXT).alias("digest")).filter("digest is not null")
+    fresh = first_of_key(texts, "digest", old).select(TEXT)
+    return fresh.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
+        lambda df, number: append_batch(scorer(df), cache_path, number)
+    )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """True once a batch is stored below the path."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(path, "batch_id=*")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    return found is not None and len(found) > 0
+def keyed_state(spark: SparkSession) -> None:
+    """Settings that keyed state needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

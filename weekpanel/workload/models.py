@@ -15,12 +15,14 @@ from weekpanel.operators.sampling import balance_binary, fold_assign, stratified
 from weekpanel.operators.textml import (
     bag_of_words_long, clean_tokens, count_vectors, cross_validate, fit_counts, classifiers, stop_words, term_counts, tfidf_long, tfidf_vectors,
 )
+from weekpanel.plans.evaluation import evaluate
 from weekpanel.plans.training import train_and_rank
 
-from weekpanel.workload.news import modeling_of
+from weekpanel.workload.news import MODELING, modeling_of
 from weekpanel.workload.prices import PRICE, PRICE_OUT
 from weekpanel.plans.prices import price_features, weekly_bars
-from weekpanel.session import freeze
+from weekpanel.session import freeze, shared_dir
+from weekpanel.sources.upsert import fresh_path
 from weekpanel.workload.registry import query
 
 # Years of the input tables, in the roles of the original split.
@@ -382,10 +384,35 @@ def _(t):
     return M.predict_with_confidence(model, validation, ("Ticker", "WeekEndingFriday"))
 
 
-@query("train_and_rank", "P14 P15 J13 J15 J18", "sector:l model:s test_accuracy:d rank:l position:l")
-def _(t):
+def _trained(t, store=None):
     modeling = freeze(modeling_of(t))
-    return train_and_rank(modeling, None, years=_YEARS_NEWS, threads=4, **SMALL_GRID)
+    return modeling, train_and_rank(modeling, None, years=_YEARS_NEWS, threads=4, store=store, **SMALL_GRID)
+
+
+@query("train_and_rank", "P14 J13 J15 J18", "sector:l model:s test_accuracy:d rank:l position:l")
+def _(t):
+    return _trained(t)[1]
+
+
+_OF_YEAR = "select SectorCode from m where year(WeekEndingFriday) = {} group by 1"
+
+
+@query("best_model_predictions", "P14 P15 J12 J16 J17 J18", "Ticker:s WeekEndingFriday:t sector:l label:l one_best_model:l probability_in_range:l accuracy_matches:l",
+       f"""with m as ({MODELING})
+           select Ticker, WeekEndingFriday, SectorCode as sector, "AdjClosePrice_t+1_Up" as label, 1 as one_best_model, 1 as probability_in_range, 1 as accuracy_matches
+           from m where year(WeekEndingFriday) = 2001 and SectorCode in ({_OF_YEAR.format(1999)} having count(distinct "AdjClosePrice_t+1_Up") = 2)
+             and SectorCode in ({_OF_YEAR.format(2000)})""")
+def _(t):
+    modeling, results = _trained(t, fresh_path(shared_dir(t.spark)))
+    results = freeze(results)
+    predictions, summary = evaluate(temporal_split(modeling, **_YEARS_NEWS)["test"], results)
+    predictions = freeze(predictions)
+    again = accuracy(predictions, "label", "predicted", ["sector"]).select("sector", "accuracy")
+    told = summary.select("sector", F.col("best_model").alias("told"), "test_accuracy")
+    return predictions.join(told, "sector", "left").join(again, "sector").select(
+        "Ticker", "WeekEndingFriday", "sector", "label", (F.col("best_model") == F.col("told")).cast("int").alias("one_best_model"),
+        F.col("predicted_probability").between(0.5, 1.0).cast("int").alias("probability_in_range"),
+        (F.abs(F.col("accuracy") - F.col("test_accuracy")) < 1e-9).cast("int").alias("accuracy_matches"))
 
 
 @query("text_classifier_accuracy", "J22 J23 J24 J3", "model:s accuracy:d n:l")

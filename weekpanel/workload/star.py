@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekpanel.functions.numeric import as_flag
-from weekpanel.operators.joins import count_compare, unmatched
+from weekpanel.operators.joins import count_compare, first_match, unmatched
 from weekpanel.operators.ranking import global_position
 from weekpanel.operators.reshape import calendar
 from weekpanel.operators.rows import filter_from
@@ -13,17 +16,18 @@ from weekpanel.plans import star as S
 from weekpanel.plans.evaluation import check_summary
 from weekpanel.plans.news import clean_news
 from weekpanel.plans.prices import price_features, weekly_bars
-from weekpanel.plans.scoring import lexicon_scores
+from weekpanel.plans.scoring import analysis_text, distinct_texts, lexicon_scores
 from weekpanel.session import freeze, shared_dir
 from weekpanel.sources.files import column_catalog, read_table, write_by_entity, write_table
 from weekpanel.sources.upsert import fresh_path, latest_per_key, refresh_partitions
+from weekpanel.sources.versions import current
 from weekpanel.streaming.jobs import (
-    latest_counts, stream_dedup_news, stream_score_new_texts, stream_upsert, stream_weekly_counts, write_batches,
+    compact, keyed_state, latest_counts, stream_dedup_news, stream_score_new_texts, stream_upsert, stream_weekly_counts, write_batches,
 )
 from weekpanel.workload.news import GRANGER, weekly_of
 from weekpanel.workload.fundamentals import FUND, MARKET_FEATURES, START
 from weekpanel.plans.fundamentals import point_in_time_fundamentals
-from weekpanel.plans.weekly_news import granger_weekly_score
+from weekpanel.plans.weekly_news import coefficients_wide, granger_weekly_score
 from weekpanel.workload.prices import BARS, FRI, PRICE
 from weekpanel.workload.registry import query
 
@@ -87,7 +91,7 @@ def _(t):
        f"""select row_number() over (order by p.Ticker, WeekEndingFriday) as id_mercato, id_azienda, {_DAY.format('WeekEndingFriday')} as id_calendario,
                   AdjClosePrice, WeeklyReturn_1W from ({PRICE}) p join {_FIRMS} a on a.Ticker = p.Ticker""")
 def _(t):
-    return S.fact_market(price_features(weekly_bars(t.fixture("daily"))), dims_of(t), check=False)
+    return S.fact_market(price_features(weekly_bars(t.fixture("daily"))), dims_of(t))
 
 
 @query("fact_articles", "M2 E20", "id_articoli:l id_azienda:l id_calendario:l Headline:s",
@@ -95,7 +99,7 @@ def _(t):
                   {_DAY.format('cast(Date as date)')} as id_calendario, Headline from f_articles n join {_FIRMS} a on a.Ticker = n.Ticker""")
 def _(t):
     news = t.fixture("articles").select("ID", "Ticker", "Date", "Headline", "Summary")
-    return S.fact_articles(news, dims_of(t), check=False)
+    return S.fact_articles(news, dims_of(t))
 
 
 @query("fact_results", "M2 C9 C10 E20", "id_risultati:l id_azienda:l id_calendario:l id_best_model:l AdjClosePrice_t+1:l predicted_AdjClosePrice_t+1:l predicted_probability:d",
@@ -103,7 +107,7 @@ def _(t):
                   id_best_model, 2 - label as "AdjClosePrice_t+1", 2 - predicted as "predicted_AdjClosePrice_t+1", predicted_probability
            from ({PRED}) p join {_FIRMS} a on a.Ticker = p.Ticker join {_MODELS} m on m.sector = p.sector and m.best_model = p.best_model""")
 def _(t):
-    return S.fact_results(predictions_of(t), dims_of(t), check=False)
+    return S.fact_results(predictions_of(t), dims_of(t))
 
 
 _SCORES = f"(select Ticker, WeekEndingFriday, NEWS_FINBERT_Granger_Score, NEWS_Sentiment_Mean from ({GRANGER}))"
@@ -115,7 +119,7 @@ _SCORES = f"(select Ticker, WeekEndingFriday, NEWS_FINBERT_Granger_Score, NEWS_S
            left join {_SCORES} s on s.Ticker = f.symbol and s.WeekEndingFriday = f.WeekEndingFriday""")
 def _(t):
     _, f, scores = _stages(t)
-    return S.fact_indicators(f, scores, dims_of(t), check=False)
+    return S.fact_indicators(f, scores, dims_of(t))
 
 
 def _stages(t):
@@ -130,12 +134,64 @@ def _stages(t):
 
 
 def _tables(t):
-    dims = dims_of(t)
+    """The tables of the views; a view reads ids of dimensions only, so the facts need no numbers of their own."""
+    dims = {n: freeze(df) for n, df in dims_of(t).items()}
+    prices, f, scores = _stages(t)
+    scored = first_match(f.select("symbol", "WeekEndingFriday"), scores.withColumnRenamed("Ticker", "symbol"), ["symbol", "WeekEndingFriday"], [], S.SCORES)
+    return {**dims, "risultati": S.result_links(predictions_of(t, prices), dims), "indicatori": S.indicator_links(scored, dims)}
+
+
+_BETAS = [f"{b}_lag_{k}" for b in ("beta_negative", "beta_neutral", "beta_positive") for k in (1, 2, 3)]
+
+
+@query("fact_granger", "M2 I1 C9 E20", "id_granger:l id_azienda:l " + " ".join(f"{b}:d" for b in _BETAS),
+       "select row_number() over (order by g.Ticker) as id_granger, id_azienda, " + ", ".join(_BETAS) + " from (select Ticker, "
+       + ", ".join(f"max({b[:-6]}) filter (lag = {b[-1]}) as {b}" for b in _BETAS) + f" from f_coeff group by Ticker) g join {_FIRMS} a on a.Ticker = g.Ticker")
+def _(t):
+    return S.fact_granger(coefficients_wide(t.fixture("coeff")), dims_of(t))
+
+
+def _star(t, store, tickers, before):
+    """One load of the whole star: the given companies, and facts before a day."""
+    early = lambda df, day: df.join(tickers, "Ticker", "left_semi").filter(F.col(day) < F.lit(before).cast("date"))
     prices, f, scores = _stages(t)
-    return {
-        **dims, "risultati": S.fact_results(predictions_of(t, prices), dims, check=False),
-        "indicatori": S.fact_indicators(f.select("symbol", "WeekEndingFriday", *MARKET_FEATURES), scores, dims, check=False),
-    }
+    f = f.select("symbol", "WeekEndingFriday", "ROA").withColumnRenamed("symbol", "Ticker")
+    return S.star_schema(
+        store, t.fixture("companies").join(tickers, "Ticker", "left_semi"), t.fixture("best"),
+        early(prices.select("Ticker", "WeekEndingFriday", "AdjClosePrice"), "WeekEndingFriday"),
+        early(t.fixture("articles").select("ID", "Ticker", "Date", "Headline", "Summary"), "Date"),
+        early(f, "WeekEndingFriday").withColumnRenamed("Ticker", "symbol"), scores, early(predictions_of(t, prices), "WeekEndingFriday"),
+        coefficients_wide(t.fixture("coeff")).join(tickers, "Ticker", "left_semi"), FIRST_DAY, LAST_DAY)
+
+
+_RELOAD = {
+    "mercato": (f"select Ticker, WeekEndingFriday as d from ({PRICE})", "d"), "articoli": ("select Ticker, Date as d from f_articles", "d"),
+    "indicatori": (f"select symbol as Ticker, WeekEndingFriday as d from ({FUND})", "d"), "risultati": (f"select Ticker, WeekEndingFriday as d from ({PRED})", "d"),
+    "granger": ("select distinct Ticker, date '1995-01-01' as d from f_coeff", "d"), "aziende": ("select Ticker, date '1995-01-01' as d from f_companies", "d"),
+}
+
+
+@query("star_second_load", "P22 M1 M2 E20", "tabella:s n_first:l n_second:l ids_changed:l ids_behind:l",
+       " union all ".join(
+           f"""select '{name}' as tabella, count(*) filter (f) as n_first, count(*) as n_second, 0 as ids_changed, count(*) filter (not f) as ids_behind
+               from (select Ticker < 'NATION_2' and {d} < date '2000-01-01' as f from ({sql}) x)""" for name, (sql, d) in _RELOAD.items()))
+def _(t):
+    """Half of the companies and years at first, then all of them: known keys keep their ids, new ones are numbered behind."""
+    store = fresh_path(shared_dir(t.spark))
+    companies = t.fixture("companies").select("Ticker")
+    _star(t, store, companies.filter("Ticker < 'NATION_2'"), "2000-01-01")
+    before = {n: freeze(current(t.spark, f"{store}/keys/{n}")) for n in _RELOAD}
+    second = _star(t, store, companies, "2100-01-01")
+    out = None
+    for name in _RELOAD:
+        key = (S.DIMENSION_KEYS | S.FACT_KEYS)[name][0]
+        old, new = before[name], current(t.spark, f"{store}/keys/{name}").select("key", "copy", F.col(key).alias("id"))
+        moved = old.join(new, ["key", "copy"], "left").filter(~F.col("id").eqNullSafe(F.col(key))).agg(F.count("*")).scalar()
+        one = second[name].agg(
+            F.count("*").alias("n_second"), F.count_if(F.col(key) > old.agg(F.max(key)).scalar()).alias("ids_behind"),
+        ).select(F.lit(name).alias("tabella"), old.agg(F.count("*")).scalar().alias("n_first"), "n_second", moved.alias("ids_changed"), "ids_behind")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _VIEW_OUT = ("companyName:s Ticker:s sector:s date:t actual_value:s predicted_value:s predicted_probability:d best_model:s test_accuracy:d "
@@ -172,20 +228,18 @@ def _(t):
     return unmatched(t.fixture("articles"), t.fixture("companies").filter("SectorCode > 1"), {"Ticker": "Ticker"})
 
 
+_ALL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
 @query("column_catalog", "M5", "tabella:s nome_variabile:s tipo:s n:l",
-       """with c as (select table_name as tabella, column_name as nome_variabile, case when data_type in ('BIGINT', 'INTEGER') then 'intero'
-                 when data_type = 'DOUBLE' then 'decimale' when data_type like 'TIMESTAMP%' then 'data_ora' else 'testo' end as tipo
-               from (values ('orders', 'o_orderkey', 'BIGINT'), ('orders', 'o_custkey', 'BIGINT'), ('orders', 'o_orderstatus', 'VARCHAR'),
-                 ('orders', 'o_totalprice', 'DOUBLE'), ('orders', 'o_orderdate', 'TIMESTAMP'), ('orders', 'o_orderpriority', 'VARCHAR'),
-                 ('supplier', 's_suppkey', 'BIGINT'), ('supplier', 's_name', 'VARCHAR'), ('supplier', 's_nationkey', 'INTEGER'),
-                 ('supplier', 's_acctbal', 'DOUBLE')) v(table_name, column_name, data_type))
-          select c.*, case tabella when 'orders' then (select count(*) from orders) else (select count(*) from supplier) end as n from c""")
+       """select tabella, column_name as nome_variabile, n, case when column_type in ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') then 'intero'
+            when column_type in ('DOUBLE', 'FLOAT') then 'decimale' when column_type = 'BOOLEAN' then 'booleano' when column_type = 'DATE' then 'data'
+            when column_type like 'TIMESTAMP%' then 'data_ora' when column_type = 'VARCHAR' then 'testo' else 'array<' || lower(column_type[:-3]) || '>' end as tipo
+          from (""" + " union all ".join(f"select '{t}' as tabella, column_name, column_type, (select count(*) from {t}) as n from (describe {t})" for t in _ALL) + ")")
 def _(t):
-    tables = {n: t.raw(n) for n in ("orders", "supplier")}
-    sizes = None
-    for n, df in tables.items():
-        one = df.agg(F.count(F.lit(1)).alias("n")).withColumn("tabella", F.lit(n))
-        sizes = one if sizes is None else sizes.unionByName(one)
+    """All tables of the folder; the sizes come from one job."""
+    tables = {n: t.raw(n) for n in _ALL}
+    sizes = reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).withColumn("tabella", F.lit(n)) for n, df in tables.items()])
     return column_catalog(tables).join(sizes, "tabella")
 
 
@@ -252,15 +306,39 @@ def _run(writer) -> None:
     writer.start().awaitTermination()
 
 
+def _in_files(t, df, cuts, base):
+    """A stream of one file for each cut, in order, one a batch."""
+    for cut in cuts:
+        df.filter(cut).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
 @query("stream_weekly_counts", "K1", "event_type:s WeekEndingFriday:t n:l",
        f"select event_type, {FRI.format('cast(ts as date)')} as WeekEndingFriday, count(*) as n from events group by 1, 2")
 def _(t):
-    base = fresh_path(shared_dir(t.spark))
-    counts = stream_weekly_counts(_stream(t, "events"), "ts", ["event_type"])
-    _run(write_batches(counts, f"{base}/counts", f"{base}/state", "update"))
+    """Three files: the second brings late events of the weeks of the first. The batches are folded after two of them and after all."""
+    base, keys = fresh_path(shared_dir(t.spark)), ["event_type", "WeekEndingFriday"]
+    e = t.raw("events").select("event_id", "event_type", "ts")
+    stream = _in_files(t, e, ["event_id % 3 = 0", "event_id % 3 = 1", "event_id % 3 = 2"], base)
+    _run(write_batches(stream_weekly_counts(stream, "ts", ["event_type"], "4000 days"), f"{base}/counts", f"{base}/state", "update"))
+    compact(t.spark, f"{base}/counts", keys)
     return latest_counts(t.spark, f"{base}/counts", ["event_type"])
 
 
+@query("stream_late_events", "K1", "event_type:s kept:l late:l",
+       """select event_type, count(*) filter (ts >= (select max(ts) from events) - interval '7' day) as kept, 0 as late from events group by 1""")
+def _(t):
+    """The newest days in two files, then all older events, which come behind the watermark of the first: their weeks stay as they were."""
+    base = fresh_path(shared_dir(t.spark))
+    e = t.raw("events").select("event_id", "event_type", "ts")
+    first = F.col("ts") >= e.agg(F.max("ts")).scalar() - F.expr("interval 7 days")
+    stream = _in_files(t, freeze(e.withColumn("recent", first)), ["recent and event_id % 2 = 0", "recent and event_id % 2 = 1", "not recent"], base)
+    _run(write_batches(stream_weekly_counts(stream, "ts", ["event_type", "recent"], "1 day"), f"{base}/counts", f"{base}/state", "update"))
+    seen = latest_counts(t.spark, f"{base}/counts", ["event_type", "recent"])
+    of = lambda flag: F.sum(F.when(flag, F.col("n")).otherwise(0))
+    return seen.groupBy("event_type").agg(of(F.col("recent")).alias("kept"), of(~F.col("recent")).alias("late"))
+
+
 @query("stream_dedup_events", "K2", "user_id:l event_type:s n:l",
        "select user_id, event_type, count(distinct props) as n from events group by 1, 2")
 def _(t):
@@ -271,12 +349,17 @@ def _(t):
     return t.spark.read.parquet(f"{base}/out").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_upsert", "K3 G6", "event_type:s n:l total:d",
-       "select event_type, count(*) as n, sum(value) as total from events group by 1")
+@query("stream_upsert", "K3 G6", "event_type:s third:l n:l total:d",
+       """select event_type, event_id % 3 as third, count(*) as n, sum(value) as total from events
+          where event_id % 3 = case when event_type < 'm' then 2 else 1 end and not (event_type < 'm' and event_id % 3 < 2) group by 1, 2""")
 def _(t):
+    """Three files: all types twice, then some of them once more, so rows of both earlier files are replaced and others stay."""
     base = fresh_path(shared_dir(t.spark))
-    _run(stream_upsert(_stream(t, "events"), f"{base}/table", "event_type", f"{base}/state"))
-    return t.spark.read.parquet(f"{base}/table").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    cuts = ["event_id % 3 = 0", "event_id % 3 = 1", "event_id % 3 = 2 and event_type < 'm'"]
+    stream = _in_files(t, t.raw("events").select("event_id", "event_type", "value"), cuts, base)
+    _run(stream_upsert(stream, f"{base}/table", "event_type", f"{base}/state"))
+    return t.spark.read.parquet(f"{base}/table").groupBy("event_type", (F.col("event_id") % 3).alias("third")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 @query("stream_score_new_texts", "K4 L2 C6", "digest:s FINBERT_Positive:d n:l",
@@ -286,11 +369,16 @@ def _(t):
            from (select x, string_split(trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(x, '[\s\p{Z}\x{1C}-\x{1F}\x{85}]+', ' ', 'g')),
                  'http[^\s\p{Z}]+|www[^\s\p{Z}]+', '', 'g'), '@[\p{L}\p{N}_]+|#', '', 'g'), '[^a-zA-Z ]', ' ', 'g')), ' +', ' ', 'g')), ' ') as w from x)""")
 def _(t):
+    """Three batches with repeats in one stream, then a second start of it that meets a file of old texts; an older cache is taken over."""
     base = fresh_path(shared_dir(t.spark))
-    for part in ("first", "again"):  # the second run finds every text in the cache
-        docs = _stream(t, "documents").select(F.col("text").alias("Summary"), F.lit("").alias("Headline"))
-        _run(stream_score_new_texts(docs, f"{base}/cache", f"{base}/{part}", lexicon_scores, first_batch=0 if part == "first" else 1))
-    scored = t.spark.read.parquet(f"{base}/cache")
+    keyed_state(t.spark)
+    docs = t.raw("documents").select("doc_id", F.col("text").alias("Summary"), F.lit("").alias("Headline"))
+    old = freeze(lexicon_scores(distinct_texts(analysis_text(docs.filter("doc_id % 10 = 0")))))
+    stream = _in_files(t, docs, ["doc_id % 3 < 2", "doc_id % 3 > 0", "doc_id % 2 = 0"], base)
+    _run(stream_score_new_texts(stream, f"{base}/cache", f"{base}/state", lexicon_scores, old))
+    docs.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    _run(stream_score_new_texts(stream, f"{base}/cache", f"{base}/state", lexicon_scores, old))
+    scored = t.spark.read.parquet(f"{base}/cache").drop("batch_id").unionByName(old)
     return scored.groupBy(F.md5(F.col("AnalysisText").cast("binary")).alias("digest")).agg(
         F.max("FINBERT_Positive").alias("FINBERT_Positive"), F.count(F.lit(1)).alias("n"))
 
