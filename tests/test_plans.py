@@ -221,8 +221,8 @@ def test_unmatched_fact_is_an_error(spark):
     dims = dimensions(companies, models, "2021-01-01", "2021-12-31")
     ok = spark.createDataFrame([("A", week(0), "Energy", "m", 1, 0, 0.7)], "Ticker string, WeekEndingFriday date, sector string, best_model string, label int, predicted int, predicted_probability double")
     assert rows(fact_results(ok, dims).select("id_azienda", "id_calendario", "`AdjClosePrice_t+1`", "`predicted_AdjClosePrice_t+1`")) == [(1, 1, 1, 2)]
-    with pytest.raises(ValueError):
-        fact_results(ok.withColumn("Ticker", F.lit("Z")), dims)
+    with pytest.raises(Exception, match="no single row for"):
+        fact_results(ok.withColumn("Ticker", F.lit("Z")), dims).collect()
 
 
 def test_readers(spark, tmp_path):
