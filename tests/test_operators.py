@@ -266,3 +266,21 @@ def test_quantiles_with_one_outlier(spark):
     df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
     got = exact_quantiles(df, "g", "v", [0.1, 0.5, 0.99, 1.0]).first()
     assert [got[f"q{i}"] for i in range(4)] == [float(np.quantile(values, p)) for p in (0.1, 0.5, 0.99, 1.0)]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_neighbours_in_buckets(spark, metric):
+    from weekpanel.operators.neighbours import knn_classify, nearest, nearest_in_buckets
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((12, 8)) * 20
+    data = [(i, (centres[i % 12] + rng.standard_normal(8)).tolist(), i % 12) for i in range(1200)]
+    df = spark.createDataFrame(data, "id long, v array<double>, label int")
+    test, train = df.filter("id % 10 = 0"), df.filter("id % 10 > 0")
+    whole = nearest(test, train, 4, "id", "v", "label", metric)
+    for rows_of_block in (20_000, 50):  # the parts of a large bucket lie in several tasks
+        found = nearest_in_buckets(test, train, 4, "id", "v", "label", metric, block_rows=rows_of_block)
+        hit = whole.join(found.select("test_id", "train_id"), ["test_id", "train_id"]).count()
+        assert hit >= 0.9 * whole.count() and found.groupBy("test_id").count().filter("count > 4").count() == 0
+    assert rows(knn_classify(test, train, 4, "id", "v", "label", metric, in_buckets=True)) == rows(test.select("id", "label"))
+    assert nearest_in_buckets(test, train.limit(0), 4, "id", "v", "label", metric).count() == 0

@@ -10,6 +10,8 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from weekpanel.operators.rows import top_per_group
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
+SAMPLE_ROWS = 2_000  # rows of each side from which the width of a bucket is taken
 _SCHEMA = "test_id {t}, train_id {r}, label {l}, distance double"
 
 
@@ -103,6 +106,61 @@ def nearest(test: DataFrame, train: DataFrame, k: int, id_column: str, vector: s
     return top_per_group(found, ["test_id"], [F.col("distance"), F.col("train_id")], k)
 
 
+def nearest_in_buckets(test: DataFrame, train: DataFrame, k: int, id_column: str, vector: str, label: str, metric: str = "euclidean",
+                       tables: int = 6, projections: int = 2, width: float = 4.0, seed: int = 17, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k nearest training rows of every test row among those that share a bucket with it: for training sets that no task can hold.
+
+    Rows are hashed by random projections; ``projections`` of them name a bucket of one table, and a row stands in one bucket of each of
+    the ``tables``. A bucket is ``width`` times as wide as the distance to the k-th neighbour in a bounded sample, which is no smaller than
+    in the whole, so a true neighbour shares at least one bucket with high probability; its distance is then exact. A training row is sent
+    once for each table; of a bucket of more than ``block_rows`` training rows the parts lie in different tasks, and its test rows go
+    to each.
+    """
+    cosine = metric == "cosine"
+    t, r = test.schema[id_column].dataType.simpleString(), train.schema[id_column].dataType.simpleString()
+    schema = _SCHEMA.format(t=t, r=r, l=train.schema[label].dataType.simpleString())
+    sample = [_sampled(df, id_column, vector, SAMPLE_ROWS, cosine) for df in (test, train)]
+    if not (len(sample[0]) and len(sample[1])):
+        return test.sparkSession.createDataFrame([], schema)
+    near = np.sort(((sample[0][:200, None] - sample[1][None]) ** 2).sum(axis=2), axis=1)[:, : k + 1][:, -1]
+    reach = float(np.sqrt(np.median(near))) or 1.0
+    hasher = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=width * reach, numHashTables=tables * projections, seed=seed)
+    as_vector = array_to_vector(F.col(vector).cast("array<double>"))
+    if cosine:
+        as_vector = array_to_vector(F.transform(F.col(vector).cast("array<double>"), lambda x: F.try_divide(x, F.sqrt(F.aggregate(
+            F.col(vector).cast("array<double>"), F.lit(0.0), lambda a, y: a + y * y)))))
+    model = hasher.fit(train.limit(1).select(as_vector.alias("_v")))
+
+    def bucketed(df: DataFrame, *columns: str) -> DataFrame:
+        hashed = model.transform(df.select(id_column, vector, *columns, as_vector.alias("_v")))
+        one = [F.struct(F.lit(i).alias("table"), F.xxhash64(*[vector_to_array(F.get("_h", F.lit(i * projections + j)))[0] for j in range(projections)]).alias("key"))
+               for i in range(tables)]
+        named = [F.col(f"`{c}`").alias(c) for c in (id_column, vector, *columns)]  # names of its own where both sides come from one table
+        return hashed.select(*named, F.explode(F.array(*one)).alias("_b")).select(id_column, vector, *columns, "_b.*")
+
+    right = bucketed(train, label)
+    parts = right.groupBy("table", "key").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_parts"))
+    part = F.pmod(F.xxhash64(id_column), "_parts").alias("part")
+    right = right.join(parts, ["table", "key"]).select(id_column, vector, label, "table", "key", part)
+    left = bucketed(test).join(parts, ["table", "key"]).select(
+        id_column, vector, "table", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=["test_id", "train_id", "label", "distance"], dtype=object)
+        return _nearest(a[id_column].to_numpy(), _matrix(a[vector], cosine), b[id_column].to_numpy(), b[label].to_numpy(), _matrix(b[vector], cosine), k)
+
+    keys = ["table", "key", "part"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema).dropDuplicates(["test_id", "train_id"])
+    return top_per_group(found, ["test_id"], [F.col("distance"), F.col("train_id")], k)
+
+
+def _sampled(df: DataFrame, id_column: str, vector: str, rows: int, cosine: bool) -> np.ndarray:
+    """At most ``rows`` vectors, the same ones in each run."""
+    picked = df.select(id_column, vector).orderBy(F.xxhash64(id_column), id_column).limit(rows).toPandas()
+    return _matrix(picked[vector], cosine) if len(picked) else np.empty((0, 0))
+
+
 def vote(neighbours: DataFrame) -> DataFrame:
     """Most frequent label among the neighbours; the smallest label wins a tie."""
     counts = neighbours.groupBy("test_id", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -111,5 +169,6 @@ def vote(neighbours: DataFrame) -> DataFrame:
 
 
 def knn_classify(test: DataFrame, train: DataFrame, k: int, id_column: str, vector: str, label: str,
-                 metric: str = "euclidean") -> DataFrame:
-    return vote(nearest(test, train, k, id_column, vector, label, metric))
+                 metric: str = "euclidean", in_buckets: bool = False) -> DataFrame:
+    """Vote of the k nearest, found exactly or ``in_buckets``."""
+    return vote((nearest_in_buckets if in_buckets else nearest)(test, train, k, id_column, vector, label, metric))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weekpanel.contracts import TARGET
 from weekpanel.operators import models as M
 from weekpanel.operators.aggregates import accuracy, box_stats, classification_report, confusion, mode_of
-from weekpanel.operators.neighbours import knn_classify
+from weekpanel.operators.neighbours import knn_classify, nearest, nearest_in_buckets
 from weekpanel.operators.ranking import largest_remainder
 from weekpanel.operators.regression import granger_table, lag_coefficients, var_fit
 from weekpanel.operators.reshape import split_xy
@@ -295,6 +295,21 @@ def _(t):
     return knn_classify(test, train, 3, "vec_id", "embedding", "label", "cosine")
 
 
+@query("knn_buckets_recall", "J25", "metric:s n_test:l recall_reached:l",
+       "select m as metric, count(*) as n_test, 1 as recall_reached from embeddings, (values ('euclidean'), ('cosine')) v(m) where vec_id % 2 = 1 group by 1")
+def _(t):
+    """Neighbours found in buckets against all neighbours: at least nine of ten are found, for both metrics."""
+    test, train = _halves(t)
+    out = None
+    for metric in ("euclidean", "cosine"):
+        whole = nearest(test, train, 5, "vec_id", "embedding", "label", metric)
+        found = nearest_in_buckets(test, train, 5, "vec_id", "embedding", "label", metric).select("test_id", "train_id", F.lit(1).alias("hit"))
+        one = whole.join(found, ["test_id", "train_id"], "left").agg(
+            F.count_distinct("test_id").alias("n_test"), (F.count("hit") >= 0.9 * F.count("*")).cast("int").alias("recall_reached")).withColumn("metric", F.lit(metric))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _SERIES = ["Volatility_4W", "Drawdown_12W", "Momentum_12W"]
 
 

@@ -17,7 +17,7 @@ from weekpanel.operators.rows import count_out_of_range, filter_date_range
 from weekpanel.operators.sets import upsert
 from weekpanel.plans.news import clean_news, dedup_news, fill_summary
 from weekpanel.plans.reports import missing_profile
-from weekpanel.plans.scoring import analysis_text, distinct_texts, lexicon_scores, missing_texts, score_with_cache, usable_cache
+from weekpanel.plans.scoring import analysis_text, distinct_texts, lexicon_scores, missing_texts, score_texts, score_with_cache, usable_cache
 from weekpanel.plans.summary_quality import classify_summary, impute_summary, summary_quality_report, top_issues
 from weekpanel.plans.weekly_news import attach_headline, coefficients_wide, granger_weekly_score, modeling_table, weekly_news_features
 from weekpanel.session import freeze
@@ -433,6 +433,21 @@ def _(t):
     return missing_texts(distinct_texts(analysis_text(d)), cache).select(F.md5(F.col("AnalysisText").cast("binary")).alias("digest"))
 
 
+def _length_scorer(texts):
+    """Stands for a plugged-in model: one mapping of metric to value for each text of a batch."""
+    return [{"TEXTBLOB_Polarity": (len(x) % 13) / 13 - 0.5, "FINBERT_Positive": (x.count("e") % 7) / 7, "EMO_Joy": None if len(x) % 5 == 0 else len(x) / 7} for x in texts]
+
+
+@query("plugged_in_scores", "L2 P10", "digest:s TEXTBLOB_Polarity:d FINBERT_Positive:d EMO_Joy:d",
+       """select md5(x) as digest, round((length(x) % 13) / 13.0e0 - 0.5e0, 4) as TEXTBLOB_Polarity, round(((length(x) - length(replace(x, 'e', ''))) % 7) / 7.0e0, 4) as FINBERT_Positive,
+                 case when length(x) % 5 <> 0 then round(length(x) / 7.0e0, 4) end as EMO_Joy
+          from (select distinct case when trim(Summary) = '' then trim(Headline) else trim(Summary) end as x from f_articles)""")
+def _(t):
+    metrics = ["TEXTBLOB_Polarity", "FINBERT_Positive", "EMO_Joy"]
+    scored = score_texts(distinct_texts(analysis_text(t.fixture("articles"))), _length_scorer, metrics)
+    return scored.select(F.md5(F.col("AnalysisText").cast("binary")).alias("digest"), *metrics)
+
+
 @query("scores_with_cache", "P10 L2 G6 C6", "ID:s Ticker:s FINBERT_Positive:d EMO_Joy:d",
        f"""select d.ID, d.Ticker, case when a = '' then null when lang_en then 0.25 else coalesce(round(p / nullif(n, 0), 4), 0) end as FINBERT_Positive,
                   case when a = '' then null when lang_en then 0.5 else coalesce(round(j / nullif(n, 0), 4), 0) end as EMO_Joy

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from weekpanel.contracts import duplicate_keys, unknown_values
 from weekpanel.functions.numeric import safe_divide, to_double
-from weekpanel.operators.aggregates import mode_of, share_of_total, sum_and_count
+from weekpanel.operators.aggregates import group_mean, group_size, mode_of, share_of_total, sum_and_count
 from weekpanel.operators.joins import anti, as_of, keep_universe, left_lookup, semi
 from weekpanel.operators.rows import (
-    add_missing_columns, best_per_key, drop_blank, filter_alive_on, filter_from, filter_in, filter_not_in, filter_selected, map_code,
+    add_missing_columns, best_per_key, drop_blank, filter_alive_on, filter_from, first_per_key, filter_in, filter_not_in, filter_selected, map_code,
     page, pick_field, rename_reorder, ties_of_best, top_per_group,
 )
 from weekpanel.operators.sets import key_difference, key_intersection, union_all
@@ -272,3 +272,16 @@ def _(t):
        "select Ticker, count(*) as n from f_articles where trim(Summary) <> '' and ID is not null group by Ticker")
 def _(t):
     return drop_blank(t.fixture("articles"), ["Summary"]).na.drop(subset=["ID"]).groupBy("Ticker").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("segment_means", "D1 D2", "c_mktsegment:s mean:d n:l", "select c_mktsegment, avg(c_acctbal) as mean, count(*) as n from customer group by 1")
+def _(t):
+    c = t.raw("customer")
+    means = group_mean(c, ["c_mktsegment"], ["c_acctbal"]).withColumnRenamed("c_acctbal", "mean")
+    return means.join(group_size(c, ["c_mktsegment"]), "c_mktsegment")
+
+
+@query("cheapest_order", "F5 G4", "o_custkey:l o_orderkey:l o_totalprice:d",
+       "select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) as r from orders) where r = 1")
+def _(t):
+    return first_per_key(t.raw("orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.col("o_totalprice"), F.col("o_orderkey")])
