@@ -230,7 +230,7 @@ def _candidates(similarity: float, again: bool):
             i, j = np.nonzero(np.triu(fit, 1))
             if again and len(i):
                 fine = np.frombuffer(b"".join(t["fine"].to_pylist()), dtype=np.uint8).reshape(m, -1)
-                near = np.concatenate([(fine[i[k : k + 8192]] == fine[j[k : k + 8192]]).mean(axis=1) for k in range(0, len(i), 8192)]) >= least_fine
+                near = np.concatenate([(fine[i[k : k + 2048]] == fine[j[k : k + 2048]]).mean(axis=1) for k in range(0, len(i), 2048)]) >= least_fine
                 i, j, here = i[near], j[near], t["region"][0].as_py()
                 own = {k: frozenset(t["regions"][k].as_py()) for k in {*i.tolist(), *j.tolist()}}
                 once = np.array([min(own[x] & own[y]) == here for x, y in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
@@ -257,10 +257,9 @@ def _across(similarity: float):
             m = t.num_rows
             sig, fine = (np.frombuffer(b"".join(t[c].to_pylist()), dtype=np.uint8).reshape(m, -1) for c in ("short", "fine"))
             n, cid, label, side, tree = (t[c].to_numpy() for c in ("n", "cid", "label", "side", "tree"))
-            homes = np.zeros((m, TREES), dtype=np.int64)
-            for k, own in enumerate(t["homes"].to_pylist()):
-                for home in own:
-                    homes[k, home["tree"]] = home["region"]
+            homes, listed = np.zeros((m, TREES), dtype=np.int64), t["homes"].combine_chunks()
+            of = np.repeat(np.arange(m), listed.value_lengths().to_numpy())
+            homes[of, listed.flatten().field("tree").to_numpy()] = listed.flatten().field("region").to_numpy()
             left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             values = np.ascontiguousarray(sig[right].T)
             for at in range(0, len(left), 64):
@@ -273,8 +272,8 @@ def _across(similarity: float):
                 i, j = rows[i], right[j]
                 if side[0] == 2:
                     i, j = i[i < j], j[i < j]
-                for k in range(0, len(i), 8192):
-                    x, y = i[k : k + 8192], j[k : k + 8192]
+                for k in range(0, len(i), 2048):
+                    x, y = i[k : k + 2048], j[k : k + 2048]
                     near = (fine[x] == fine[y]).mean(axis=1) >= least_fine
                     x, y = x[near], y[near]
                     first = ((homes[x] == homes[y]) & (homes[x] != 0)).argmax(axis=1) == tree[0]
