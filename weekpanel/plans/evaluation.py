@@ -22,13 +22,14 @@ def best_model_predictions(test: DataFrame, results: DataFrame, sector: str = "S
 
     ``results`` is the table of ``train_and_rank`` with a store. Only the best model of each sector is loaded. The rows are laid out by
     sector once, so each model reads its own part and together they read every row once. Rows of sectors without a stored model
-    are left out.
+    are left out; without any the result is empty.
     """
     spark = test.sparkSession
     best = best_vs_baselines(results, order="execution_order", select_by=select_by).select("sector", F.col("best_model").alias("model"))
     chosen = results.join(best, ["sector", "model"]).where("path is not null").orderBy("sector").collect()  # a row for each sector
-    if not chosen:
-        raise ValueError("no stored model in the results")
+    if not chosen:  # no sector could be trained
+        none = {"label": "int", "predicted": "int", "predicted_probability": "double"}
+        return test.limit(0).select(*KEYS, *[F.lit(None).cast(k).alias(c) for c, k in none.items()], F.col(sector).alias("sector"), F.lit("").alias("best_model"))
     path = fresh_path(shared_dir(spark))
     test.withColumn("_sector", F.col(sector)).hint("rebalance", "_sector").write.partitionBy("_sector").parquet(path)
     stored = spark.read.schema(test.withColumn("_sector", F.col(sector)).schema).parquet(path)
