@@ -242,16 +242,31 @@ def test_subsequence_kernel_against_brute_force():
             assert k == pytest.approx(want**toxicity.POWER if want >= toxicity.LEAST else 0, abs=1e-6)  # weights are 32-bit
 
 
-def test_toxicity_finds_changed_insults():
+def insulted(spark, long=0):
+    """80 documents with an insult, longer by ``long`` clean words, and 80 without; the model that learns from them."""
     rng = random.Random(5)
     clean = [f"{a}{b}" for a in ("ta", "mi", "ro", "len", "sar") for b in ("ko", "dan", "vel", "tis", "mor")]
-    docs = [[rng.choice(clean) for _ in range(40)] for _ in range(160)]
+    docs = [[rng.choice(clean) for _ in range(40 + long * (i < 80))] for i in range(160)]
     for d in docs[:80]:
-        d[rng.randrange(40)] = rng.choice(["blockhead", "numbskull"])
-    model = toxicity.fit([" ".join(d) for d in docs], np.array([1] * 80 + [0] * 80))
+        d[rng.randrange(len(d))] = rng.choice(["blockhead", "numbskull"])
+    rows = [(i, ". ".join(" ".join(d[at : at + 20]) for at in range(0, len(d), 20)), int(i < 80)) for i, d in enumerate(docs)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic")), [t for _, t, _ in rows]
+
+
+def test_toxicity_finds_changed_insults(spark):
+    model, _ = insulted(spark)
     score = toxicity.Scorer(model)([f"tako midan {x} rovel" for x in (
-        "blockhead", "block-head", "blockhhead", "b l o c k h e a d", "b.l.o.c.k.h.e.a.d", "numbskulll", "Blockhead!!", "miko", "")])
-    assert (score[:7] > 0.5).all() and (score[7:] < 0.5).all()
+        "blockhead", "block-head", "blockhhead", "b l o c k h e a d", "b.l.o.c.k.h.e.a.d", "numbskulll", "Blockhead!!",
+        "b. l. o. c. k. h. e. a. d.", "n. u. m. b. s. k. u. l. l", "miko", "", "t. a. k. o. m.", "a b c d e f")])
+    assert (score[:9] > 0.5).all() and (score[9:] < 0.5).all()
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """The toxic documents are all far longer than the clean ones; none is passed over."""
+    model, texts = insulted(spark, long=4000)
+    score = toxicity.Scorer(model)(texts)
+    assert (score[:80] > 0.5).all() and (score[80:] < 0.5).all()
 
 
 # language model

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekpanel.llm.common import labelled_sample, remainder
+from weekpanel.session import freeze
 
 LANDMARKS, CANDIDATES = 128, 600
 POWER = 3
@@ -27,8 +28,9 @@ DECAY = 0.6
 GAPS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 COST = 300.0  # of all errors together, against the length of the weights
 LEAST = 0.6  # kernel values below this count as 0
-#: Labelled rows of each class to learn from, at most, and the longest text among them. Scoring has no such limit.
-PER_CLASS, LEARN_CHARS = 2500, 16_000
+#: Labelled ids of each class to learn from, at most, and the sentences of one text among them that come nearest to the landmarks.
+#: Their texts are read whole, however long. Scoring has no such limit.
+PER_CLASS, PER_TEXT = 2500, 32
 KEPT_WORDS = 600_000
 CHUNK = 10_000  # words compared at once
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
@@ -109,14 +111,22 @@ def units(token: str) -> list[str]:
 
 
 def spelled(sentence: str) -> list[str]:
-    """Words that are spelled letter by letter."""
-    return [re.sub(r"\W", "", m.group()) for m in SPELLED.finditer(sentence)]
+    """Words that are spelled letter by letter, in overlapping windows where very long."""
+    return [u for m in SPELLED.finditer(sentence) for u in units(re.sub(r"\W", "", m.group()))]
 
 
 def sentences(text: str | None) -> Iterator[str]:
     return (s for s in SENTENCE.split((text or "").lower()) if s)
 
 
+def parts(text: str | None) -> Iterator[frozenset[str]]:
+    """The words of every sentence; a word spelled over the ends of sentences, as letters with dots and blanks are, stands as one of its own."""
+    for s in sentences(text):
+        yield frozenset({u for x in s.split() for u in units(x)} | {*spelled(s)})
+    for w in spelled((text or "").lower()):
+        yield frozenset([w])
+
+
 @dataclass(frozen=True)
 class SentenceSVM:
     landmarks: tuple[str, ...]
@@ -148,52 +158,71 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
-def typical_words(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> list[str]:
-    """Words that toxic documents hold far more often than clean ones, most typical first.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, toxic, clean): in how many documents of either class a word stands, so that long ones weigh no more."""
+    for b in batches:
+        counts = {0: Counter(), 1: Counter()}
+        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            counts[label].update(set().union(*parts(text)))
+        found = list(counts[1].keys() | counts[0].keys())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.string()), *[pa.array([counts[c][w] for w in found], pa.int64()) for c in (1, 0)]], ["word", "toxic", "clean"]
+        )
+
+
+def typical_words(counts: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
+    """Words that toxic documents hold far more often than clean ones, most typical first, from (word, toxic, clean).
 
     A word counts together with its kernel neighbours: variants of an insult support each other, and a word that is put together of everyday
-    parts has clean neighbours against it.
+    parts has clean neighbours against it. ``CANDIDATES`` words and two sums for each come to the driver.
     """
-    def gain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a - b * n_toxic / n_clean) / np.sqrt(a + b + 1)
-
-    first = {w: gain(a, clean[w]) for w, a in toxic.items() if a >= 2 and len(w) >= 4}
-    some = sorted((w for w, g in first.items() if g > 1), key=lambda w: (-first[w], w))[:CANDIDATES]
+    gain = (F.col("toxic") - F.col("clean") * F.lit(n_toxic / n_clean)) / F.sqrt(F.col("toxic") + F.col("clean") + 1)
+    first = counts.where((F.col("toxic") >= 2) & (F.length("word") >= 4)).select("word", gain.alias("gain")).where("gain > 1")
+    some = [r["word"] for r in first.orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()]
     if not some:
         return []
-    marks, found = Landmarks(some), sorted(w for w in toxic.keys() | clean.keys() if toxic[w] + clean[w] >= 2)
-    a, b = np.zeros(len(some)), np.zeros(len(some))
-    for at in range(0, len(found), CHUNK):
-        for w, k in marks.near(found[at : at + CHUNK]).items():
-            a += k * toxic[w]
-            b += k * clean[w]
-    smooth = dict(zip(some, gain(a, b), strict=True))
+
+    def supported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Landmarks(some)
+        for b in batches:
+            toxic, clean, at = np.zeros(len(some)), np.zeros(len(some)), {w: i for i, w in enumerate(b.column(0).to_pylist())}
+            of = [b.column(i).to_numpy() for i in (1, 2)]
+            for w, k in marks.near(list(at)).items():
+                toxic += k * of[0][at[w]]
+                clean += k * of[1][at[w]]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(some)), pa.int32()), pa.array(toxic), pa.array(clean)], ["mark", "toxic", "clean"])
+
+    near = counts.where("toxic + clean >= 2").mapInArrow(supported, "mark int, toxic double, clean double")
+    smooth = {some[r["mark"]]: r["gain"] for r in near.groupBy("mark").agg(
+        F.round(F.sum("toxic"), 6).alias("toxic"), F.round(F.sum("clean"), 6).alias("clean")).select("mark", gain.alias("gain")).collect()}
     best = sorted(some, key=lambda w: (-smooth[w], w))
     return [w for w in best if smooth[w] > 2][:LANDMARKS] or best[:8]
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 5) -> SentenceSVM:
-    """Learn from labelled documents; alternates between fitting and choosing the toxic sentences of toxic documents."""
-    none = SentenceSVM((), np.zeros(0), -1.0, 4.0, 0.0)
-    if len(y) == 0 or y.min() == y.max():  # nothing to tell apart
-        return none
-    one: dict[str, str] = {}  # equal words share their memory
-    docs = [
-        [tuple({one.setdefault(u, u) for x in s.split() for u in units(x)} | {*spelled(s)}) for s in sentences(t)] for t in texts
-    ]
+def _vectors(chosen: list[str]):
+    """Kernel sums of the ``PER_TEXT`` sentences of every text that come nearest to the landmarks, as 32-bit numbers."""
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Landmarks(chosen)
+        for b in batches:
+            rows = []
+            for text in b.column(0).to_pylist():
+                own = set(parts(text))
+                near = marks.near(sorted(set().union(*own)))
+                met = sorted({tuple(sorted(near.keys() & p)) for p in own} - {()})
+                sums = sorted((np.sum([near[w] for w in ws], axis=0) for ws in met), key=lambda v: -v.sum())[:PER_TEXT]
+                rows.append(np.array(sums, dtype="<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(rows, pa.binary())], ["label", "doc", "near"])
+
+    return mapped
+
+
+def fit(found: list[tuple[int, bytes, int]], chosen: list[str], rounds: int = 5) -> SentenceSVM:
+    """Learn from the label and the sentences of documents; alternates between fitting and choosing the toxic sentences of toxic documents."""
+    marks, y = Landmarks(chosen), np.array([label for label, _, _ in found])
     n = [int((y == c).sum()) for c in (0, 1)]
-    clean, toxic = Counter(), Counter()
-    for d, label in zip(docs, y, strict=True):
-        (toxic if label == 1 else clean).update({w for s in d for w in s})
-    chosen = typical_words(toxic, clean, n[1], n[0])
-    if not chosen:
-        return none
-    marks = Landmarks(chosen)
-    near = marks.near(sorted(clean.keys() | toxic.keys()))
-    hits = ((i, [near[w] for w in sorted(near.keys() & s)]) for i, d in enumerate(docs) for s in d)
-    found = [(i, np.sum(k, axis=0)) for i, k in hits if k]
-    bag = np.array([i for i, _ in found], dtype=np.int64)
-    z = np.vstack([np.array([v for _, v in found]).reshape(-1, len(chosen)), np.zeros(len(chosen))])  # the last stands for sentences far from all
+    each = [np.frombuffer(v, dtype="<f4").reshape(-1, len(chosen)) for _, v, _ in found]
+    bag = np.repeat(np.arange(len(y)), [len(v) for v in each])
+    z = np.vstack([*each, np.zeros((1, len(chosen)))]).astype(float)  # the last stands for sentences far from all
     k = np.array([marks.near([w]).get(w, np.zeros(len(chosen))) for w in chosen])
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T  # Nyström map
@@ -237,14 +266,15 @@ class Scorer:
             self.known, self.hits, self.near = set(), {}, set()
         new = every - self.known
         self.known |= new
-        found = sorted({u for x in new for u in units(x)} | {w for ws in letters for w in ws if len(w) > 2})
+        found = sorted({u for x in new for u in units(x)} | {w for ws in letters for w in ws})
         self.hits |= self.marks.near(found)
         self.near |= {x for x in new if any(u in self.hits for u in units(x))}
         margins = np.full(len(lower), self.model.bias)
         for i, own in enumerate(tokens):
             if letters[i] or not self.near.isdisjoint(own):
-                for s in sentences(lower[i]):
-                    words = {u for x in self.near.intersection(s.split()) for u in units(x)} | {*(spelled(s) if letters[i] else ())}
+                near = ({u for x in self.near.intersection(s.split()) for u in units(x)} | {*(spelled(s) if letters[i] else ())}
+                        for s in sentences(lower[i]))
+                for words in [*near, *({w} for w in letters[i])]:
                     values = [self.hits[w] for w in words if w in self.hits]
                     if values:
                         margins[i] = max(margins[i], float(np.sum(values, axis=0) @ self.model.weights) + self.model.bias)
@@ -252,10 +282,23 @@ class Scorer:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> SentenceSVM:
-    """Fit on at most ``per_class`` rows of each class, of texts up to ``LEARN_CHARS`` characters."""
-    short = docs.where(F.length("text") <= LEARN_CHARS)
-    found = sorted((r["text"], r["label"]) for r in labelled_sample(short, labels, label, per_class).collect())
-    return fit([t for t, _ in found], np.array([y for _, y in found]))
+    """Fit on the whole texts of at most ``per_class`` ids of each class; equal texts of one label count once.
+
+    Words are counted and sentences compared in tasks; the driver gets the landmarks and at most ``PER_TEXT`` sentences a text, as numbers.
+    Where one class is missing or no word tells them apart, every text is clean.
+    """
+    none = SentenceSVM((), np.zeros(0), -1.0, 4.0, 0.0)
+    found = labelled_sample(docs.where("text is not null"), labels, label, per_class).withColumn("doc", F.xxhash64("text"))
+    sample = freeze(found.repartition(32, "doc").dropDuplicates(["text", "label", "doc"]).select("text", "label", "doc"))
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(n) < 2:  # nothing to tell apart
+        return none
+    counts = sample.select("text", "label").mapInArrow(_counted, "word string, toxic long, clean long")
+    chosen = typical_words(freeze(counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))), n[1], n[0])
+    if not chosen:
+        return none
+    near = sample.mapInArrow(_vectors(chosen), "label int, doc long, near binary")
+    return fit(sorted((r["label"], bytes(r["near"]), r["doc"]) for r in near.collect()), chosen)
 
 
 def score_toxicity(docs: DataFrame, model: SentenceSVM, text: str = "text") -> DataFrame:
