@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -66,6 +67,16 @@ def test_teaser_articles_are_not_the_main_text():
     assert extraction.main_text(f"<nav><a>Home</a>{two}", weights) == "The first\nand the second"  # a menu that is never closed
 
 
+@pytest.mark.parametrize("kind", ["ad", "cookie-notice", "social", "page-header", "newsletter"])
+def test_articles_within_adverts_and_notices_are_not_the_main_text(kind):
+    card = f'<div class="{kind}"><article><p>buy five or more of our things</p></article></div>'
+    assert extraction.main_text(f"<body>{card}<article><p>The story of the day</p></article>{card}</body>", {"text:body": 4.0}) == "The story of the day"
+
+
+def test_a_form_around_the_whole_page_holds_its_article():
+    assert extraction.main_text("<form><article><p>The story of the day</p></article></form>", {"text:body": 4.0}) == "The story of the day"
+
+
 def test_whole_table_against_its_articles(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     rows = extraction.extract(pages.withColumn("copy", F.col("html"))).collect()

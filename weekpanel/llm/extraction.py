@@ -47,8 +47,8 @@ ROLES = {
     "alert": "notice", "dialog": "notice", "alertdialog": "notice", "form": "form", "menu": "menu", "menubar": "menu",
 }
 KIND_OF = {name: kind for kind, names in NAMES.items() for name in names.split()}
-#: An article within these stays what they are: it is a teaser, a comment or the like.
-KEEPING = {"comments", "sidebar", "menu", "footer"}
+#: An article within these stays what they are: it is a teaser, an advert or the like. A ``form`` element may hold a whole page, though.
+KEEPING = {"comments", "sidebar", "menu", "footer", "header", "notice", "advert", "form"}
 BODY_WORD, TAG_COST = 1.0, 0.05  # without labelled pages
 
 TOKEN = re.compile(
@@ -114,7 +114,7 @@ def scan(page: str | None) -> Iterator[tuple[str, str, bool]]:
             elif not closing and tag in ("article", "main") and kind != "comments":
                 if kind_tag not in closes:
                     closes[kind_tag] = max((c.start() for c in re.finditer(rf"</{re.escape(kind_tag)}\b", page, re.I)), default=-1)
-                if tag == "main" or kind_tag == "p" or kind not in KEEPING or closes[kind_tag] < at:  # an element that is never closed holds no article
+                if tag == "main" or kind_tag == "p" or kind_tag == "form" or kind not in KEEPING or closes[kind_tag] < at:  # an element that is never closed holds no article
                     kind = None
             elif kind_tag == "p" and tag in BLOCKS and tag != "br":
                 kind = None
